@@ -7,17 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe_encode_decode
+from .ctw import op3_lm_scoring
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .media import op9_media_columns
 from .mixing import op7_mixing
 from .quality import op4_quality_classifier
 from .secrets import op2_secret_scans
 from .simhash import op1_simhash_near_dedup
+from .substrings import op8_suffix_array_dedup
 from .urls import op10_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_near_dedup, op2_secret_scans, op4_quality_classifier, op5_exact_dedup, op6_bpe_encode_decode, op7_mixing, op9_media_columns, op10_url_filters)
+    found = (
+        op1_simhash_near_dedup,
+        op2_secret_scans,
+        op3_lm_scoring,
+        op4_quality_classifier,
+        op5_exact_dedup,
+        op6_bpe_encode_decode,
+        op7_mixing,
+        op8_suffix_array_dedup,
+        op9_media_columns,
+        op10_url_filters,
+    )
     return {f.__name__: f for f in found}
 
 
