@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import vectors as V
+
+def _place(word: str, dimension: int) -> tuple[int, float]:
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:8], 16) % dimension, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
 
 
 def hash_embedding(text: Column, dimension: int = 64) -> Column:
     """Unit vectors: a word adds 1 or -1 to one place, both from its md5; the zero vector for texts without words."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
-    place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dimension))
-    sign = lambda w: F.when(F.conv(F.substring(F.md5(w), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    parts = F.transform(tokens, lambda w: F.struct(place(w).alias("p"), sign(w).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(parts, lambda x: x["p"] == i), F.lit(0.0), lambda s, x: s + x["s"]))
-    n = V.norm(raw)
-    return F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, float]] = {}
+        out = []
+        for t in texts:
+            v = np.zeros(dimension)
+            for w in re.findall("[a-z0-9]+", (t or "").lower()):
+                if w not in known:
+                    known[w] = _place(w, dimension)
+                v[known[w][0]] += known[w][1]
+            n = np.sqrt(v @ v)
+            out.append(v / n if n else v)
+        return pd.Series(out)
+
+    return embed(text)

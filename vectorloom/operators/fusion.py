@@ -21,8 +21,8 @@ def _weight(weights: dict[str, float], other: float) -> Column:
     return out
 
 
-def _ranked(df: DataFrame, score: Column) -> DataFrame:
-    fused = df.groupBy("query_id", "vec_id").agg(F.round(score, PLACES).alias("score"))
+def _ranked(df: DataFrame, score: Column, places: int = PLACES) -> DataFrame:
+    fused = df.groupBy("query_id", "vec_id").agg(F.round(score, places).alias("score"))
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
 
 
@@ -33,7 +33,7 @@ def rrf(df: DataFrame, weights: dict[str, float] | None = None, k: int = 60) ->
 
 
 def linear(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    return _ranked(df, F.sum(_weight(DEFAULT_WEIGHTS if weights is None else weights, OTHER) * F.col("score")))
+    return _ranked(df, F.sum(_weight(DEFAULT_WEIGHTS if weights is None else weights, OTHER) * F.col("score")), PLACES + 2)
 
 
 def fuse(df: DataFrame, method: str = "rrf", weights: dict[str, float] | None = None) -> DataFrame:

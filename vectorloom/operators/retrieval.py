@@ -93,7 +93,7 @@ def hybrid(results: DataFrame, meta: Column, k: int, vector_weight: float = 0.7,
     """Add vector_score, metadata_score and score; ties keep the order of distance."""
     if not (0 <= vector_weight <= 1 and 0 <= metadata_weight <= 1 and abs(vector_weight + metadata_weight - 1) <= 0.01):
         raise ValueError("weights must be in [0, 1] and sum to 1")
-    scored = results.withColumn("vector_score", F.round(vector_score(), PLACES)).withColumn("metadata_score", F.round(meta, PLACES))
+    scored = results.withColumn("vector_score", F.round(vector_score(), PLACES + 1)).withColumn("metadata_score", F.round(meta, PLACES))
     scored = scored.withColumn("score", F.round(vector_weight * vector_score() + metadata_weight * meta, PLACES)).withColumnRenamed("rank", "old_rank")
     return top(scored, k, F.desc("score"), "old_rank")
 

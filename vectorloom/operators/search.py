@@ -254,28 +254,31 @@ def walk(x: np.ndarray, near: list[np.ndarray], q: np.ndarray, ef: int, entries:
     return np.array([i for _, i in best], int), np.array([v for v, _ in best]), steps
 
 
+def _searcher(block, k: int, ef: int, trace: bool):
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, m = block.value
+        pdf = pdf.sort_values("vec_id").reset_index(drop=True)
+        x, vec = _matrix(pdf["embedding"]), pdf["vec_id"].to_numpy()
+        near = [np.searchsorted(vec, v).tolist() for v in pdf["neighbours"]]
+        rows = []
+        for qid, q in zip(ids.tolist(), m, strict=True):
+            at, d, steps = walk(x, near, q, max(ef, k))
+            if trace:
+                rows += [(qid, int(pdf["shard"][0]), s, int(vec[i]), round(float(v), PLACES), a) for s, (i, v, a) in enumerate(steps)]
+            else:
+                rows += [(qid, int(vec[i]), round(float(v), PLACES) + 0.0) for i, v in zip(at, d, strict=True)]
+        names = ["query_id", "shard", "step", "vec_id", "distance", "action"] if trace else ["query_id", "vec_id", "distance"]
+        return pd.DataFrame(rows, columns=names)
+
+    return search
+
+
 def graph_knn(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, threshold: float | None = None, trace: bool = False) -> DataFrame:
     """Search each shard's graph, then merge. The threshold comes after the candidates. With `trace`, the steps instead of results."""
     sc, found = graph.sparkSession.sparkContext, None
     schema = "query_id long, shard long, step int, vec_id long, distance double, action string" if trace else "query_id long, vec_id long, distance double"
     for ids, m in blocks(queries):
-        block = sc.broadcast((ids, m))
-
-        def search(pdf: pd.DataFrame, block=block) -> pd.DataFrame:
-            ids, m = block.value
-            pdf = pdf.sort_values("vec_id").reset_index(drop=True)
-            x, vec = _matrix(pdf["embedding"]), pdf["vec_id"].to_numpy()
-            near = [np.searchsorted(vec, v).tolist() for v in pdf["neighbours"]]
-            rows = []
-            for qid, q in zip(ids.tolist(), m, strict=True):
-                at, d, steps = walk(x, near, q, max(ef, k))
-                if trace:
-                    rows += [(qid, int(pdf["shard"][0]), s, int(vec[i]), round(float(v), PLACES), a) for s, (i, v, a) in enumerate(steps)]
-                else:
-                    rows += [(qid, int(vec[i]), round(float(v), PLACES) + 0.0) for i, v in zip(at, d, strict=True)]
-            names = ["query_id", "shard", "step", "vec_id", "distance", "action"] if trace else ["query_id", "vec_id", "distance"]
-            return pd.DataFrame(rows, columns=names)
-
+        search = _searcher(sc.broadcast((ids, m)), k, ef, trace)
         part = graph.groupBy("shard").applyInPandas(search, schema)
         found = part if found is None else found.union(part)
     if found is None:

@@ -165,8 +165,11 @@ class Catalog:
 
 def checked_batch(batch: DataFrame, dimension: int, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Split a batch into documents that can be added and (idx, error) of the others."""
-    if embed is not None:
-        batch = batch.withColumn("chunks", F.transform("chunks", lambda c: F.struct(c["text"].alias("text"), F.coalesce(c["embedding"].cast("array<float>"), embed(c["text"])).alias("embedding"))))
+    if embed is not None:  # one row a chunk, for the service takes columns of texts
+        rows = batch.select("idx", F.posexplode_outer("chunks").alias("pos", "c")).select("idx", "pos", F.col("c.text").alias("text"), F.col("c.embedding").cast("array<double>").alias("given"))
+        rows = rows.withColumn("embedding", F.coalesce("given", embed(F.col("text")).cast("array<double>")).cast("array<float>"))
+        chunks = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", "embedding"))), lambda c: F.struct(c["text"].alias("text"), c["embedding"].alias("embedding")))
+        batch = batch.drop("chunks").join(rows.where("pos is not null").groupBy("idx").agg(chunks.alias("chunks")), "idx", "left")
     bad_text = F.exists("chunks", lambda c: F.coalesce(F.length(c["text"]), F.lit(0)).between(1, MOST_CHARS) == False)  # noqa: E712
     bad_vector = F.exists("chunks", lambda c: V.problem(c["embedding"], dimension).isNotNull())
     n = F.coalesce(F.size("chunks"), F.lit(0))

@@ -32,13 +32,14 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoi
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event id once, with state that a watermark bounds."""
     if events.isStreaming:
-        return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+        return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
 
 
 def windowed(events: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type; on streams late events beyond the delay are left out."""
-    events = events.withWatermark("ts", delay) if events.isStreaming else events
+    if events.isStreaming:  # watermarks need times with a zone
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
