@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def subscribed(events: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def matched_webhooks(events: DataFrame, webhooks: DataFrame) -> DataFrame:
     return events.join(hooks, "wants").where("tenant_id is null or tenant_id = hook_tenant").select("event_id", "webhook_id").distinct()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def signature(payload: pd.Series, secret: pd.Series) -> pd.Series:
     """sha256=hex of HMAC-SHA256."""
     return pd.Series(["sha256=" + hmac.new(s.encode(), p.encode(), hashlib.sha256).hexdigest() for p, s in zip(payload, secret, strict=True)])
