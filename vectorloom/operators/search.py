@@ -166,6 +166,23 @@ def ivf_knn(corpus: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int
     return rescored(met, corpus, queries, k, threshold)
 
 
+def tuned_probes(corpus: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = 10, target: float = 0.9) -> int:
+    """The fewest probes, doubling and then halving the gap, whose recall against the exact scan reaches `target` on these queries."""
+    exact = knn(corpus, queries, k).cache()
+    index = assigned(corpus, centroids, "vec_id").cache()
+    good = lambda n: recall(ivf_knn(corpus, queries, centroids, k, n, index=index), exact).first()["recall"] >= target
+    low, high = 0, 1
+    while high < len(centroids) and not good(high):
+        low, high = high, 2 * high
+    high = min(high, len(centroids))
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if good(mid) else (mid, high)
+    exact.unpersist()
+    index.unpersist()
+    return high
+
+
 def pq_codebooks(corpus: DataFrame, subvectors: int = 8, centroids: int = 256, seed: int = 42) -> DataFrame:
     """(subvector, code, centroid): k-means of each slice of the vectors, seeded by its place."""
     from pyspark.ml.clustering import KMeans
