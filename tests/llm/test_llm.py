@@ -531,3 +531,12 @@ def test_pipeline_stages(spark, codec):
     want = Counter((r["doc_id"], len(codec.lib.encode(r["text"], add_special_tokens=False).ids)) for r in mixed.collect())
     assert Counter((r["doc_id"], r["n_tokens"]) for r in last.collect()) == want
     assert P.run(spark, SF).count() == mixed.count()
+
+
+def test_urls_by_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    want = sorted(map(str, c.sql(f"SELECT {', '.join(names)} FROM ({urls.OP10_SQL})").fetchall()))
+    assert sorted(str(tuple(r)) for r in urls.op10_url_filters(spark, sf).select(*names).collect()) == want

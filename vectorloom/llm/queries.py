@@ -15,7 +15,7 @@ from .quality import op4_quality_classifier
 from .secrets import op2_secret_scans
 from .simhash import op1_simhash_near_dedup
 from .substrings import op8_suffix_array_dedup
-from .urls import op10_url_filters
+from .urls import OP10_SQL, op10_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op10_url_filters": OP10_SQL}

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import LOWER, UPPER, ascii_lower, table
 
 
 @dataclass(frozen=True)
@@ -121,3 +121,16 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+_RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in HOST_RULES)
+_BLOCKED = " OR ".join(f"regexp_matches(lower_url, '{r.pattern}')" for r in PATTERN_RULES)
+OP10_SQL = f"""
+WITH rules(verdict, host, path) AS (VALUES {_RULES}),
+parts AS (SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS lower_url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, lower_url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+best AS (SELECT page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM split s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY page_id)
+SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.verdict, CASE WHEN s.host <> '' AND ({_BLOCKED}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s LEFT JOIN best b USING (page_id)
+"""
