@@ -540,3 +540,17 @@ def test_urls_by_sql(spark):
     names = ["page_id", "host", "path", "rule", "verdict"]
     want = sorted(map(str, c.sql(f"SELECT {', '.join(names)} FROM ({urls.OP10_SQL})").fetchall()))
     assert sorted(str(tuple(r)) for r in urls.op10_url_filters(spark, sf).select(*names).collect()) == want
+
+
+def test_secrets_by_sql(spark, tmp_path):
+    """The registered query's SQL, over the documents and over made ones with random tokens."""
+    r = random.Random(4)
+    letters = secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/"
+    made = [random_text(r) for _ in range(200)] + [" ".join(f"customerAccountingConfiguration{r.randrange(99)}" if r.random() < 0.5 else "".join(r.choice(letters) for _ in range(r.randrange(20, 90))) for _ in range(3)) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for path, glob in ((str(tmp_path), "/documents.parquet/*.parquet"), ("/root/testdata/sf0.01", "/documents.parquet")):
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}{glob}'")
+        got = secrets.op2_secret_scans(spark, path)
+        want = c.sql(f"SELECT {', '.join(got.columns)} FROM ({secrets.OP2_SQL})").fetchall()
+        assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in got.collect())

@@ -254,8 +254,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, window: int = WINDOW, comm
     texts_of = materialize(keyed.where(F.octet_length("text") >= span).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "texts")
     rows = _anchor_rows(keyed, span, window).groupBy("h", "k1", "k2", "a").agg(F.first("first").alias("first"), F.first("last").alias("last"))
     rows = materialize(rows, "anchors")
-    again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > common).alias("common"))
-    of_text = rows.join(again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "first", "last", "common")).alias("found"))
+    again = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > common).alias("common")), "repeated")
+    n_again = again.count()
+    of_text = rows.join(F.broadcast(again) if n_again <= SMALL else again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "first", "last", "common")).alias("found"))
     of_text = materialize(of_text.join(texts_of.select("k1", "k2", "least"), ["k1", "k2"]), "candidates")
     n_found = of_text.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
     buckets = max(partitions(spark), -(-n_found // BUCKET))
