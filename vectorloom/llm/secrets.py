@@ -177,20 +177,20 @@ def _quoted(pattern: str) -> str:
 def _sql() -> str:
     """The same rows in DuckDB's SQL: matches by position, the battery as aggregates over tokens' characters."""
     kinds = [(*k[:2], i) for i, k in enumerate(KINDS)] + [(RANDOM, CANDIDATE, len(KINDS))]
-    found = " UNION ALL ".join(f"SELECT rid, {i} AS at, '{k}' AS kind, regexp_extract_all(text, {_quoted(p)}) AS ms, string_split_regex(text, {_quoted(p)}) AS gaps FROM d WHERE regexp_matches(text, {_quoted(p)})" for k, p, i in kinds)
-    long_enough = " OR ".join(f"(at = {i} AND length(regexp_extract(m, {_quoted(p)}, {g})) >= {n})" for i, (_, p, g, n) in enumerate(KINDS))
+    found = " UNION ALL ".join(f"SELECT rid, {i} AS place, '{k}' AS kind, regexp_extract_all(text, {_quoted(p)}) AS ms, string_split_regex(text, {_quoted(p)}) AS gaps FROM d WHERE regexp_matches(text, {_quoted(p)})" for k, p, i in kinds)
+    long_enough = " OR ".join(f"(place = {i} AND length(regexp_extract(m, {_quoted(p)}, {g})) >= {n})" for i, (_, p, g, n) in enumerate(KINDS))
     case = lambda value: "CASE " + " ".join(f"WHEN regexp_matches(m, '{e[1]}') THEN {value(e)}" for e in ENCODINGS) + " END"
     counts = ", ".join(f"count(*) FILTER (kind = '{k[0]}') AS n_{k[0]}" for k in KINDS)
     zero = ", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in KINDS)
-    as_text = """string_agg(kind || ':' || "start"::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY "start", at)"""
+    as_text = """string_agg(kind || ':' || "start"::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY "start", place)"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 f AS ({found}),
-e AS (SELECT rid, at, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM f),
-s AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid, at ORDER BY i) AS "end" FROM e),
-spans AS (SELECT rid, at, kind, m, "end" - length(m) AS "start", "end" FROM s),
+e AS (SELECT rid, place, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM f),
+s AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid, place ORDER BY i) AS "end" FROM e),
+spans AS (SELECT rid, place, kind, m, "end" - length(m) AS "start", "end" FROM s),
 base AS (SELECT * FROM spans WHERE {long_enough}),
-runs AS (SELECT * FROM spans r WHERE at = {len(KINDS)} AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b."start" < r."end" AND r."start" < b."end")),
+runs AS (SELECT * FROM spans r WHERE place = {len(KINDS)} AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b."start" < r."end" AND r."start" < b."end")),
 tok AS (SELECT DISTINCT m, {case(lambda e: f"'{e[0]}'")} AS encoding, {case(lambda e: f"'{e[2]}'")} AS alphabet, {case(lambda e: e[3])} AS least FROM runs),
 body AS (SELECT m, encoding, alphabet, length(alphabet) AS a, CASE WHEN encoding = 'hex' THEN lower(regexp_replace(m, '=+$', '')) ELSE regexp_replace(m, '=+$', '') END AS body, least FROM tok WHERE encoding IS NOT NULL),
 chars AS (SELECT m, any_value(encoding) AS encoding, any_value(a) AS a, any_value(length(body)) AS n, unnest(any_value(string_split(body, ''))) AS c, unnest(range(any_value(length(body)))) AS i, any_value(alphabet) AS alphabet FROM body WHERE length(body) >= least GROUP BY m),
@@ -199,8 +199,8 @@ y AS (SELECT *, lag(x) OVER (PARTITION BY m ORDER BY i) AS before FROM x),
 chi AS (SELECT m, sum(k * k) AS squares FROM (SELECT m, c, count(*)::DOUBLE AS k FROM x GROUP BY m, c) GROUP BY m),
 st AS (SELECT m, any_value(encoding) AS encoding, any_value(a) - 1.0 AS free, any_value(n)::DOUBLE AS n, any_value(squares) * any_value(a) / any_value(n) - any_value(n) AS chi2,
   count(*) FILTER (x > 0)::DOUBLE AS ones, 1.0 + count(*) FILTER ((x > 0) <> (before > 0)) AS runs, sum(x::DOUBLE * before) AS products, sum(x::DOUBLE * x) AS power FROM y JOIN chi USING (m) GROUP BY m),
-z AS (SELECT *, (pow(chi2 / free, 1 / 3.0) - (1 - 2 / (9 * free))) / sqrt(2 / (9 * free)) AS z_chi, 2 * ones * (n - ones) AS both FROM st),
-zz AS (SELECT *, CASE WHEN both * (both - n) / (n * n * (n - 1)) > 0 THEN abs(runs - both / n - 1) / sqrt(both * (both - n) / (n * n * (n - 1))) ELSE sqrt(n) END AS z_runs, CASE WHEN power > 0 THEN abs(products / power) * sqrt(n) ELSE sqrt(n) END AS z_serial FROM z),
+z AS (SELECT *, (pow(chi2 / free, 1 / 3.0) - (1 - 2 / (9 * free))) / sqrt(2 / (9 * free)) AS z_chi, 2 * ones * (n - ones) AS twice FROM st),
+zz AS (SELECT *, CASE WHEN twice * (twice - n) / (n * n * (n - 1)) > 0 THEN abs(runs - twice / n - 1) / sqrt(twice * (twice - n) / (n * n * (n - 1))) ELSE sqrt(n) END AS z_runs, CASE WHEN power > 0 THEN abs(products / power) * sqrt(n) ELSE sqrt(n) END AS z_serial FROM z),
 pv AS (SELECT m, encoding, floor(log2(n))::INT AS size, least(1.0, 3 * least(CASE WHEN z_chi >= 0 THEN {_tail_sql('z_chi')} ELSE 1 - {_tail_sql('(-z_chi)')} END, 2 * {_tail_sql('z_runs')}, 2 * {_tail_sql('z_serial')})) AS p FROM zz),
 tests AS (SELECT m, encoding, size, CASE WHEN p <= 0 THEN {LAST} ELSE least({LAST}, floor(-log10(p) * {GRID})) END::INT AS step FROM pv),
 hist AS (SELECT encoding, size, step, count(*) AS n FROM tests GROUP BY ALL),
