@@ -1,0 +1,56 @@
+"""The pipeline's near-duplicate stage against brute force, with planted copies at similarities around 0.8."""
+
+import random
+
+import corpus_pipeline
+from vectorloom.llm import minhash
+
+
+def plain_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def plain_kept(rows):
+    sets, parent = {i: plain_set(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def edited(r, words, n):
+    """`n` spread words replaced: each spoils five shingles."""
+    out, step = list(words), len(words) // (n or 1)
+    for i in range(n):
+        out[i * step + step // 2] = f"new{r.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_near_copies_at_the_threshold(spark):
+    r = random.Random(5)
+    rows = [(i, t) for i, t in enumerate(["", "   ", "one", "One", "one two", "a b c d e f"])]
+    for k in range(40):
+        words = [f"w{r.randrange(10**6)}" for _ in range(204 + k)]
+        # of about 200 shingles, 4 edits leave 0.82 and 5 edits 0.78
+        rows += [(100 + 10 * k + n, edited(r, words, n)) for n in (0, 4, 5, 9)]
+    words = [f"v{r.randrange(10**6)}" for _ in range(150)]
+    rows += [(1000 + i, edited(r, words, r.randrange(6))) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (None, "one")], "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = {x["doc_id"] for x in kept.collect()}
+    assert got - {None} == plain_kept(rows) and None in got
+    assert not any(100 + 10 * k + 4 in got for k in range(40)) and all(100 + 10 * k + 9 in got for k in range(40))
+
+
+def test_no_rows(spark):
+    assert minhash.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

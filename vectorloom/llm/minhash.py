@@ -1,0 +1,151 @@
+"""Near-duplicates by similarity of their 5-word shingles, for the pipeline: MinHash keys find candidates, whole sets decide.
+
+Texts are near-duplicates if the Jaccard similarity of their sets of 5-word shingles is at least 0.8. Forty keys of six
+minima each go into equality joins; a pair of similarity 0.8 shares no key with probability (1 - 0.8^6)^40 = 5e-6, one
+of 0.9 with 2e-13. Candidates are compared exactly, as sets of 64-bit shingle hashes: first each text with the least
+of its key, then all pairs in a key that the links so far do not connect. No key is left out, however many texts share
+it, so a large group of texts that share keys but are less similar costs its pairs.
+
+Defined results: a null text is empty; texts without words are equal, and shorter ones are one shingle; rows of a null
+doc_id stay; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, small_batches, some, texts, utf8
+from .components import components
+
+SHINGLE, SEED = 5, 42
+#: The least similarity, as a fraction.
+P, Q = 4, 5
+BANDS, ROWS = 40, 6
+#: Hashes whose minima are computed at once.
+BLOCK = 1 << 11
+MIX = np.uint64(0x9E3779B97F4A7C15)
+_random = np.random.default_rng(SEED)
+TIMES = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+PLUS = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The sorted set of the XXH64 of a UTF-8 text's 5-word shingles."""
+    words = text.lower().split()
+    joined, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1 if words else np.zeros(1, np.int64)
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = ends[SHINGLE - 1 :].tolist() if len(words) >= SHINGLE else [len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a set under each of the BANDS * ROWS functions."""
+    return np.min([(hashes[at : at + BLOCK] * TIMES + PLUS).min(1) for at in range(0, len(hashes), BLOCK)], 0)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """Rows of BANDS keys from rows of minima; the number of the band is part of a key."""
+    m = least.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * MIX, m.shape[:2])
+    for i in range(ROWS):
+        key = (key ^ m[:, :, i]) * MIX
+        key = key ^ (key >> np.uint64(29))
+    return key.view(np.int64)
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, sid, size, keys): the digest and size of each text's set of shingles, and its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            sid, size, least = [], [], []
+            for t in utf8(b["text"]):
+                h = shingles(t)
+                sid.append(_set_id(h))
+                size.append(len(h))
+                least.append(minima(h))
+            keys = pa.array(list(band_keys(np.array(least))), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int64()), keys], ["doc_id", "sid", "size", "keys"])
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sid long, size long, keys array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(sid, hashes): the sets themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            sets = [shingles(t) for t in utf8(b["text"])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_set_id(h) for h in sets], np.uint64).view(np.int64)), pa.array([h.tobytes() for h in sets], pa.binary())], ["sid", "hashes"])
+
+    return docs.mapInArrow(run, "sid long, hashes binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (src, dst) of sets those whose Jaccard similarity is at least P / Q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            good = []
+            for x, y in zip(b["x"], b["y"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(Q * both >= P * (len(x) + len(y) - both))
+            yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    x, y = sets.select(F.col("sid").alias("src"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("dst"), F.col("hashes").alias("y"))
+    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) for the rows with an id: component_id is the least doc_id reachable over links of near-duplicates."""
+    docs = texts(docs).where("doc_id is not null")
+    marks = materialize(_sketches(docs), "sketches")
+    small_batches(docs.sparkSession, 200)
+    one = marks.groupBy("sid").agg(F.min(F.struct("doc_id", "size", "keys")).alias("of"))
+    one = materialize(one.select("sid", F.col("of.doc_id").alias("least"), "of.size", "of.keys"), "distinct")
+    keyed = one.select(F.explode("keys").alias("key"), "sid", "size")
+    heads = keyed.groupBy("key").agg(F.min(F.struct("sid", "size")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = materialize(keyed.join(heads, "key"), "members")
+
+    # neither of a similar pair is smaller than this part of the other
+    fits = lambda a, b: F.least(a, b) * Q >= F.greatest(a, b) * P
+    wanted = one.join(members.select("sid").distinct(), "sid", "left_semi").select(F.col("least").alias("__least"))
+    sets = materialize(_sets(docs.join(wanted, docs["doc_id"] == wanted["__least"], "left_semi")), "sets")
+    first = members.where("sid <> head.sid").where(fits(F.col("size"), F.col("head.size")))
+    first = materialize(first.select(F.col("head.sid").alias("src"), F.col("sid").alias("dst")).distinct(), "pairs")
+    links = materialize(_similar(first, sets), "links")
+
+    roots = components(links)
+    placed = members.join(roots, members["sid"] == roots["node"], "left").select("key", "sid", "size", F.coalesce("root", "sid").alias("root"))
+    placed = materialize(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    a = placed.join(open_keys, "key", "left_semi")
+    b = a.select("key", F.col("sid").alias("sid2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
+    rest = a.join(b, "key").where("sid < sid2 and root <> root2").where(fits(F.col("size"), F.col("size2")))
+    rest = rest.select(F.col("sid").alias("src"), F.col("sid2").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
+    links = links.union(materialize(_similar(materialize(rest, "pairs"), sets), "links"))
+
+    roots = components(links).join(one.select(F.col("sid").alias("node"), "least"), "node")
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = materialize(roots.join(named, "root").select(F.col("node").alias("sid"), "component_id"), "components")
+    return marks.join(one.select("sid", "least"), "sid").join(of, "sid", "left").select("doc_id", F.coalesce("component_id", "least").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is the least of its near-duplicate component; all columns stay. Needs unique ids; rows of a null id stay."""
+    kept = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.where("doc_id is null").unionByName(docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi"))
