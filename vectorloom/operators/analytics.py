@@ -205,7 +205,52 @@ def davies_bouldin(df: DataFrame) -> DataFrame:
     return pairs.groupBy("cluster").agg(F.max((F.col("s") + F.col("s2")) / F.col("gap")).alias("worst")).agg(F.avg("worst").alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, sample: int = 1000) -> DataFrame:
+#: Vectors of a block, and those of it that a task compares with another block at once.
+SILHOUETTE_BLOCK, SILHOUETTE_ROWS = 8192, 256
+
+
+def silhouette(df: DataFrame) -> DataFrame:
+    """One row: the reference form, over all vectors. `a` counts the distance to itself; `b` is the nearest vector of another cluster.
+
+    The vectors are dealt into at least four blocks of at most about SILHOUETTE_BLOCK; each meets every block in a task, which returns the sum and number
+    of distances within its cluster and the least to others, and a groupBy merges these. Work is the square of the vectors' number,
+    what a task holds is not."""
+    import numpy as np
+    import pandas as pd
+
+    spark = df.sparkSession
+    rows = df.select("vec_id", "cluster", "embedding").where("cluster is not null and embedding is not null")
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([(0.0,)], "silhouette double")
+    blocks = max(4, -(-n // SILHOUETTE_BLOCK))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"vec_id": [], "total": [], "n": [], "least": []})
+        x, label = np.stack(right["embedding"].to_numpy()).astype(float), right["cluster"].to_numpy()
+        out = []
+        for at in range(0, len(left), SILHOUETTE_ROWS):
+            part = left.iloc[at : at + SILHOUETTE_ROWS]
+            m = np.stack(part["embedding"].to_numpy()).astype(float)
+            d = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * m @ x.T))
+            d[part["vec_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()[None]] = 0
+            same = part["cluster"].to_numpy()[:, None] == label[None]
+            out.append(pd.DataFrame({"vec_id": part["vec_id"], "total": np.where(same, d, 0).sum(1), "n": same.sum(1), "least": np.where(same, np.inf, d).min(1)}))
+        return pd.concat(out)
+
+    kind = df.schema["vec_id"].dataType.simpleString()
+    right = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    parts = met.groupBy("own", "other").cogroup(right.groupBy("first", "own")).applyInPandas(meet, f"vec_id {kind}, total double, n long, least double")
+    g = parts.groupBy("vec_id").agg((F.sum("total") / F.sum("n")).alias("a"), F.min("least").alias("b"))
+    top = F.greatest("a", "b")
+    s = F.when((F.col("b") < float("inf")) & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return g.agg(F.avg(s).alias("silhouette"))
+
+
+def silhouette_of_sample(df: DataFrame, sample: int = 1000) -> DataFrame:
     """One row: the reference form, over a sample of at most `sample` vectors, the first by a hash of the id. `a` counts the distance
     to itself; `b` is the nearest vector of another cluster. A task compares its vectors with the sample, which is bounded."""
     import numpy as np
