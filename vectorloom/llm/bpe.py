@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, small_batches, some, table, utf8
+from .common import materialize, partitions, some, table, utf8
 
 #: Characters of a leaf, and of the longest text that is encoded in one piece.
 LEAF, LONG = 1 << 14, 1 << 15
@@ -186,7 +186,6 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:  # the driver's copy goes to the tasks; a tokenizer file has a fixed size
         spec = spark.sparkContext.broadcast(f.read())
-    small_batches(spark)
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if ids else {})
     ddl = ", ".join(f"{k} {({pa.int64(): 'long', pa.string(): 'string'}).get(v, 'array<int>')}" for k, v in kinds.items())
 

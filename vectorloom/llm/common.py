@@ -52,20 +52,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that tasks hand to Python: long documents make batches of the default length large."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+def some(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows. Spark bounds a batch by its bytes; this bounds what a task makes of one in Python."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of one key beyond which its rows are not dealt to one task; and rows, of some dozen bytes, that may be broadcast.
+HOT, SMALL = 100_000, 500_000
+
+
+def join_hot(rows: DataFrame, of: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """`rows` joined with `of` by `key`, where `of` has a row for each key and in `n` the number of its rows.
+
+    Keys of more than HOT rows, of which there can't be many, are broadcast after they were counted; the others are
+    shuffled. No task gets all rows of a hot key.
+    """
+    hot = materialize(of.where(F.col(n) > HOT), "hot")
+    if not 0 < hot.count() <= SMALL:
+        return rows.join(of, key)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot.select(key), key, "left_anti").join(of.where(F.col(n) <= HOT), key)
+    return cold.unionByName(rows.join(hot, key))
+
+
+def keep_ids(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id isn't in `lost` (doc_id); rows of a null id stay, and all columns."""
+    lost = materialize(lost.select(F.col("doc_id").alias("__lost")).where("__lost is not null").distinct(), "lost")
+    lost = F.broadcast(lost) if lost.count() <= SMALL else lost.hint("shuffle_hash")
+    return docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -28,8 +28,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _stars(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         s = _stars(large)
         small = s.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(s.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()  # counts the edges while they are written, without a job of its own
+        e = materialize(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("digest")), "edges")
+        now = seen.get
         if now == before:
             break
         before = now

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, small_batches, some, table, texts, utf8
+from .common import fold, materialize, some, table, texts, utf8
 
 DEPTH, SLOTS = 5, 1 << 20
 #: Words, of at most so many bytes, whose counts the scoring tasks hold.
@@ -112,7 +112,6 @@ def corpus_counts(docs: DataFrame, use: Column, depth: int = DEPTH) -> DataFrame
         if len(keys):
             yield of_sequences()
 
-    small_batches(docs.sparkSession, 500)
     return docs.where(use).select("text").mapInArrow(run, "seq long, word binary, n long").groupBy("seq", "word").agg(F.sum("n").alias("n"))
 
 
@@ -279,7 +278,6 @@ def score(docs: DataFrame, t: Tables, known: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(scores)], ["doc_id", "n_tokens", "n_known", "logs", "rare", "score"])
 
     t_depth = t.depth
-    small_batches(docs.sparkSession, 500)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, logs double, rare array<struct<word: binary, n: long>>, score double")
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, some, table, texts, utf8
+from .common import some, table, texts, utf8
 
 WIDTH, SIDE = 64, 32
 #: Picture rows that are summed at once.
@@ -180,7 +180,6 @@ def media_features(rows: DataFrame, id_col: str = "doc_id", media_col: str = "me
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([b[id_col], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [id_col, "height", "width", "channels", "tile", "dhash"])
 
-    small_batches(rows.sparkSession)
     return rows.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, height long, width long, channels long, tile binary, dhash string")
 
 
@@ -208,7 +207,6 @@ def text_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             columns = zip(*map(one, utf8(b["text"])), strict=True)
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
-    small_batches(docs.sparkSession)
     docs = texts(docs)
     spec = ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in zip(names, kinds, strict=True))
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {spec}")

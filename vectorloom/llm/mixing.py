@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK, materialize, partitions, small_batches, table
+from .common import BLANK, materialize, partitions, table
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 7
 KEY = ["h", "id", "size", "t"]
@@ -121,7 +121,6 @@ def _first_words(text: pd.Series, n: pd.Series) -> pd.Series:
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of `docs`: whole rows as often as they are taken, and the first words of each source's border document."""
-    small_batches(docs.sparkSession)
     plan = source_plan(materialize(_keyed(docs, seed), "sizes"), weights, share, epochs)
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[x.alias(n) for x, n in ((F.col("source"), "src"), (F.col("doc_id"), "id"), (word_count(F.col("text")), "size"), (F.xxhash64(F.lit(seed), F.col("doc_id")), "h"), (F.xxhash64("text"), "t"))])

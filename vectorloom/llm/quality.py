@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, small_batches, some, table, utf8
+from .common import fold, some, table, utf8
 
 BITS = 18
 DIM = 1 << BITS
@@ -149,12 +149,10 @@ def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
                 scores.append(1 / (1 + np.exp(-float(np.clip(model.value[index] @ value, -30, 30)))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "__score"])
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def _model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    small_batches(docs.sparkSession)
     return train(training_sample(docs, labels, fold("doc_id", FOLDS) != HELD))
 
 

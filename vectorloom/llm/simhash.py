@@ -1,13 +1,23 @@
 """SimHash near-duplicates, found by deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into two segments of 32. Fingerprints that differ in at most three bits have a segment
-that differs in at most one, so both of them own the variant of that segment in which the differing bit is a wildcard.
-The 64 one-wildcard variants of each distinct fingerprint are its signatures; an equality join on them finds every
-candidate, and the join's condition compares all 64 bits.
-
-Defined results: a null text is empty; texts without words have fingerprint zero, which links like any other; a null
-doc_id keeps its row, and gets the least id of its component; an empty table gives an empty result; other columns are
-left out.
+A fingerprint is cut into segments. Fingerprints that differ in few bits have a segment that differs in at most one, so
+both of them own the variant of that segment in which the differing bit is a wildcard. The one-wildcard variants of all
+segments of each distinct fingerprint are its signatures; an equality join on them finds candidates, which are verified.
+
+`simhash_groups` links 64-bit fingerprints that differ in at most three bits. Two segments of 32 bits find all of them.
+A signature that more than CROWD fingerprints share is split by the rest of the fingerprint in the same way: a half of
+the rest again differs in at most one bit, so its one-wildcard variants extend the signature, and so on until the eight
+bits that are left bound the fingerprints that a signature can have.
+
+`similar_groups` links texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, which is about a
+tenth of the bits: WIDE segments of WIDE_BITS bits of the two-word shingles' SimHash find candidates, and the sets
+themselves decide. First each member of a signature is compared with its least one, in work that is linear however
+many share it; then all members that are not yet linked and whose fingerprints differ in at most CLOSE bits.
+
+Defined results: a null text is empty; texts without words have fingerprint zero, which links like any other; ties and
+repeated rows are in one group, and repeats of its least doc_id all stay; of a null doc_id, `simhash_groups` gives the
+least id of its component, and the dedups keep its row; very long texts are read whole, in blocks; an empty table gives
+an empty result; other columns, whatever their names, are kept by the dedups and left out by the groups.
 """
 
 from __future__ import annotations
@@ -20,29 +30,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, some, table, texts, utf8
+from .common import join_hot, keep_ids, materialize, some, table, texts, utf8
 from .components import components
 
 SHINGLE, SEED, NEAR, SEGMENT = 3, 42, 3, 32
-#: A signature that more fingerprints share goes to the ball method, which is exact and linear too.
+#: A signature that more fingerprints share is split by further bits.
 CROWD = 256
 #: Shingles whose bits are counted at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 
+#: The similarity of texts: five-word shingles, and the least Jaccard similarity as a fraction.
+WORDS, P, Q = 5, 4, 5
+#: Segments and their bits, of the SimHash of PAIR-word shingles that finds candidates.
+PAIR, WIDE, WIDE_BITS = 2, 12, 24
+#: Bits in which candidates may differ from a signature's least member, and from other members.
+FAR, CLOSE = 48, 28
+#: Members of a signature that one task compares with all others.
+SHARE = 4096
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of a UTF-8 text: a bit is set if over half of its shingles' XXH64 have it."""
+
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED, wide: bool = False) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, repeats included, in blocks; `wide`: three 128-bit hashes of each instead, as rows of bytes."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    one, many = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
     for at in range(0, n, BLOCK):
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=False)], np.uint64)
+        block = [joined[s:e] for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]
+        if wide:
+            yield np.frombuffer(b"".join(many(x, seed + i) for x in block for i in range(3)), np.uint8).reshape(-1, 48)
+        else:
+            yield np.array([one(x, seed) for x in block], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of a UTF-8 text: a bit is set if over half of its shingles' XXH64 have it."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle, seed):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -54,59 +84,42 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.array([fingerprint(t, shingle, seed) for t in utf8(b["text"])], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps)], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     docs = texts(docs)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+# ---- links of 64-bit fingerprints -----------------------------------------------------------------------------------
+
+
+def _mask(bits: int) -> Column:
+    return F.lit((1 << bits) - 1)
 
 
-def signatures(fps: DataFrame) -> DataFrame:
-    """(key, bit, fp): the one-wildcard variants of both segments of each fingerprint."""
-    bits = F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("bit")
-    one = F.col("bit").cast("int") % SEGMENT
-    part = F.when(F.col("bit") < SEGMENT, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", SEGMENT))
-    masked = part.bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1L, cast(bit % {SEGMENT} as int))")))
-    return fps.select("fp", bits).select((F.col("bit").cast("long") * F.lit(1 << SEGMENT) + masked).alias("key"), one.alias("one"), (F.col("bit") >= SEGMENT).alias("high"), "fp")
+def _variants(rows: DataFrame, bits: int) -> DataFrame:
+    """Cut `rest`, of 2 * bits bits, in halves: a row for each half and wildcard, whose `key` has that variant and whose `rest` is the other half."""
+    bit = F.explode(F.sequence(F.lit(0), F.lit(2 * bits - 1))).alias("bit")
+    rows = rows.select("key", "rest", "fp", bit)
+    low, high = F.col("rest").bitwiseAND(_mask(bits)), F.shiftrightunsigned("rest", bits).bitwiseAND(_mask(bits))
+    mine, other = F.when(F.col("bit") < bits, low).otherwise(high), F.when(F.col("bit") < bits, high).otherwise(low)
+    masked = mine.bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1L, cast(bit % {bits} as int))")))
+    return rows.select(F.concat("key", F.array(F.col("bit").cast("long") * F.lit(1 << bits) + masked)).alias("key"), other.alias("rest"), "fp")
 
 
 def _links(fps: DataFrame, near: int, crowd: int) -> DataFrame:
-    """(src, dst) edges between distinct fingerprints, which connect all that differ in at most `near` bits, and no others."""
-    sig = signatures(fps).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    a, b = sig.where(f"n <= {crowd}").drop("n"), sig.where(f"n <= {crowd}").select("key", F.col("fp").alias("fp2"))
-    xor = F.col("fp").bitwiseXOR(F.col("fp2"))
-    part = F.when(F.col("high"), F.shiftrightunsigned(xor, SEGMENT)).otherwise(xor.bitwiseAND(F.lit(0xFFFFFFFF)))
-    # each pair once for a segment: by the bit that differs, or by bit 0 if none does
-    first = (part == F.expr("shiftleft(1L, one)")) | ((part == 0) & (F.col("one") == 0))
-    found = a.join(b, (a["key"] == b["key"]) & (F.col("fp") < F.col("fp2")) & (_distance("fp", "fp2") <= near) & first).select(F.col("fp").alias("src"), F.col("fp2").alias("dst"))
-    crowded = sig.where(f"n > {crowd}").select("fp").distinct()
-    return found.union(_balls(crowded, near))
-
-
-def _balls(fps: DataFrame, near: int) -> DataFrame:
-    """Edges for crowded fingerprints, without pairs: two that differ in at most three bits have a point within one bit of
-    one and two bits of the other, so linking all within two bits of a point to the least within one bit of it loses nothing.
-    Around a point are at most 65 and 2081 fingerprints, however many there are in all."""
-    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    i, j = np.triu_indices(64, 1)
-    flips = [np.concatenate(([np.uint64(0)], one)), np.concatenate(([np.uint64(0)], one, one[i] | one[j]))]
-
-    def ball(radius: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = flips[radius - 1]
-            for b in some(batches):
-                fp = b["fp"].to_numpy(zero_copy_only=False)
-                for at in range(0, len(fp), 64):
-                    x = fp[at : at + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array((x.view(np.uint64)[:, None] ^ f[None]).view(np.int64).ravel()), pa.array(np.repeat(x, len(f)))], ["point", "fp"])
-
-        return fps.mapInArrow(run, "point long, fp long")
-
-    inner, outer = near // 2, near - near // 2
-    centre = ball(inner).groupBy("point").agg(F.min("fp").alias("src")) if inner else fps.select(F.col("fp").alias("point"), F.col("fp").alias("src"))
-    return ball(outer).join(centre, "point").where("src <> fp").select("src", F.col("fp").alias("dst")).distinct()
+    """(src, dst) edges between distinct fingerprints: all that differ in at most `near` bits, and no others, each once or more."""
+    rows, found = fps.select(F.array().cast("array<bigint>").alias("key"), F.col("fp").alias("rest"), "fp"), None
+    for bits in (SEGMENT, SEGMENT // 2, SEGMENT // 4):
+        shared = _variants(rows, bits).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+        shared = materialize(shared, "signatures")
+        few = shared if bits == SEGMENT // 4 else shared.where(f"n <= {crowd}")
+        a, b = few.select("key", "fp"), few.select("key", F.col("fp").alias("fp2"))
+        close = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= near)
+        links = a.join(b, (a["key"] == b["key"]) & close).select(F.col("fp").alias("src"), F.col("fp2").alias("dst"))
+        found = links if found is None else found.union(links)
+        rows = shared.where(f"n > {crowd}")
+        if bits == SEGMENT // 4 or rows.isEmpty():
+            break
+    return found
 
 
 def simhash_groups(docs: DataFrame, near: int = NEAR, crowd: int = CROWD, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -117,19 +130,143 @@ def simhash_groups(docs: DataFrame, near: int = NEAR, crowd: int = CROWD, shingl
     if near not in (2, 3):
         raise ValueError("near must be 2 or 3")
     fps = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     links = materialize(_links(least.select("fp"), near, crowd), "links")
-    roots = components(links).join(least.withColumnRenamed("fp", "node"), "node")
+    roots = components(links).join(least.select(F.col("fp").alias("node"), "least"), "node")
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    of = materialize(least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = materialize(least.join(of, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "components")
+    return join_hot(fps, of, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, near: int = NEAR, crowd: int = CROWD) -> DataFrame:
-    """The rows of `docs` whose doc_id is the least of its near-duplicate component; all columns stay. Needs unique ids; rows of a null id stay."""
-    kept = simhash_groups(docs, near, crowd).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi"))
+    """The rows of `docs` whose doc_id is the least of its component of fingerprints; all columns stay. Needs unique ids; rows of a null id stay."""
+    lost = simhash_groups(docs, near, crowd).where("doc_id <> component_id").select("doc_id")
+    return keep_ids(docs, lost)
+
+
+# ---- links of similar texts -----------------------------------------------------------------------------------------
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted set of the XXH64 of a UTF-8 text's five-word shingles; texts with fewer words are one shingle, those without none."""
+    parts = [np.unique(h) for h in shingle_hashes(text, WORDS)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(text: bytes, words: int = PAIR, bits: int = WIDE * WIDE_BITS) -> np.ndarray:
+    """The bits of a text's SimHash over its distinct shingles."""
+    parts = [h.view("V48").ravel() for h in shingle_hashes(text, words, wide=True)]
+    if not parts:
+        return np.zeros(bits, np.uint8)
+    distinct = np.unique(np.concatenate(parts)).view(np.uint8).reshape(-1, 48)[:, : bits // 8]
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(distinct), BLOCK):
+        ones += np.unpackbits(distinct[at : at + BLOCK], axis=1).sum(0, dtype=np.int64)
+    return (2 * ones > len(distinct)).astype(np.uint8)
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, size, segments): the digest and size of each text's set of shingles, and the segments of its fingerprint."""
+    place = np.int64(1) << np.arange(WIDE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            digest, size, segments = [], [], []
+            for t in utf8(b["text"]):
+                h = shingle_set(t)
+                digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+                size.append(len(h))
+                segments.append(wide_fingerprint(t).reshape(WIDE, WIDE_BITS) @ place)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(digest), pa.array(size, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], ["doc_id", "digest", "size", "segments"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, size long, segments array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(node, hashes): the sets themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingle_set(t).tobytes() for t in utf8(b["text"])], pa.binary())], ["node", "hashes"])
+
+    return docs.mapInArrow(run, f"node {docs.schema['doc_id'].dataType.simpleString()}, hashes binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (src, dst) those whose sets have a Jaccard similarity of at least P / Q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            good = []
+            for x, y in zip(b["x"], b["y"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(Q * both >= P * (len(x) + len(y) - both))
+            yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    x, y = sets.select(F.col("node").alias("src"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("dst"), F.col("hashes").alias("y"))
+    kind = pairs.schema["src"].dataType.simpleString()
+    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}")
+
+
+def _alike(far: int) -> Column:
+    """Whether a row's texts a and b, by size and segments, can be similar and differ in at most `far` bits."""
+    fits = F.least("a.size", "b.size") * Q >= F.greatest("a.size", "b.size") * P
+    bits = sum((F.bit_count(F.col("a.segments")[i].bitwiseXOR(F.col("b.segments")[i])) for i in range(WIDE)), F.lit(0))
+    return fits & (bits <= far)
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) for the rows with an id: component_id is the least doc_id reachable over links of similar texts."""
+    docs = texts(docs).where("doc_id is not null")
+    marks = materialize(_sketches(docs), "sketches")
+    # texts with one set of shingles are one node, named by its least document
+    one = marks.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "segments")).alias("of"), F.count("*").alias("n"))
+    one = materialize(one.select("digest", F.col("of.doc_id").alias("node"), "of.size", "of.segments", "n"), "distinct")
+
+    rows = one.select("node", F.posexplode("segments").alias("part", "segment"))
+    rows = rows.select("node", "part", "segment", F.explode(F.sequence(F.lit(0), F.lit(WIDE_BITS - 1))).alias("bit"))
+    key = F.expr(f"shiftleft(cast(part * {WIDE_BITS} + bit as bigint), {WIDE_BITS}) | (segment & ~shiftleft(1L, bit))").alias("key")
+    of_key = Window.partitionBy("key")
+    members = rows.select(key, "node").select("key", "node", F.min("node").over(of_key).alias("head"), F.count("*").over(of_key).alias("n"))
+    members = materialize(members.where("n > 1"), "members")
+
+    pairs = members.where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst")).distinct()
+    a, b = one.select(F.col("node").alias("src"), F.struct("size", "segments").alias("a")), one.select(F.col("node").alias("dst"), F.struct("size", "segments").alias("b"))
+    first = materialize(pairs.join(a, "src").join(b, "dst").where(_alike(FAR)).select("src", "dst"), "pairs")
+    nodes = members.select(F.col("node").alias("doc_id")).distinct()
+    sets = materialize(_sets(docs.join(nodes, "doc_id", "left_semi")), "sets")
+    links = materialize(_similar(first, sets), "links")
+    roots = components(links)
+
+    placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = materialize(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rest = placed.join(open_keys, "key", "left_semi").join(one.select("node", "size", "segments"), "node")
+    rest = materialize(rest, "open")
+    # a signature with many members is shared out: each task has some of them against all
+    share = F.ceil(F.col("n") / SHARE).cast("int")
+    side = lambda name: F.struct("node", "root", "size", "segments").alias(name)
+    left = rest.select(F.col("key").alias("k"), F.pmod(F.hash("node"), share).alias("s"), side("a"))
+    right = rest.select(F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), share - 1)).alias("s2"), side("b"))
+    apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    more = left.join(right, (F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2")) & apart & _alike(CLOSE))
+    more = more.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
+    links = materialize(_similar(materialize(more, "pairs"), sets), "links")
+    # those links join components that are known: their graph is small
+    of = lambda end, root: roots.select(F.col("node").alias(end), F.col("root").alias(root))
+    ends = links.join(of("src", "a"), "src", "left").join(of("dst", "b"), "dst", "left")
+    upper = components(ends.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = one.select("digest", "n", "node").join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("root"))
+    named = materialize(named.join(upper, "root", "left").select("digest", "n", F.coalesce("top", "root").alias("component_id")), "components")
+    return join_hot(marks.select("doc_id", "digest"), named, "digest").select("doc_id", "component_id")
+
+
+def similar_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is the least of its component of similar texts; all columns stay. Needs unique ids; rows of a null id stay."""
+    lost = similar_groups(docs).where("doc_id <> component_id").select("doc_id")
+    return keep_ids(docs, lost)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, small_batches, some, table, texts
+from .common import materialize, partitions, some, table, texts
 from .suffixes import front_code, merge, shared_with_before
 
 SPAN, WINDOW, GRAM = 400, 200, 16
@@ -249,7 +249,6 @@ def _cut(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, span: int = SPAN, window: int = WINDOW, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """(k1, k2) of texts of at least `span` bytes that occur more than once, and (k1, k2, spans) of texts in which bytes repeat: arrays of (start, end)."""
     spark = docs.sparkSession
-    small_batches(spark)
     keyed = _keyed(docs)
     texts_of = materialize(keyed.where(F.octet_length("text") >= span).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "texts")
     rows = _anchor_rows(keyed, span, window).groupBy("h", "k1", "k2", "a").agg(F.first("first").alias("first"), F.first("last").alias("last"))
