@@ -1,14 +1,19 @@
 """Secret scans with SQL functions alone: fixed patterns, and a battery of randomness tests for anything that looks drawn at random.
 
-Base spans are the leftmost non-overlapping matches of three patterns. The battery adds others: each run of encoding
+Base spans are the leftmost non-overlapping matches of three patterns. The battery adds others: each run of an encoding's
 characters outside base spans gets an inferred encoding; a chi-squared test of its symbols' uniformity, a runs test and a
-test of serial correlation measure how far it is from random symbols. Non-random runs are the discoveries: in each
-stratum of encoding and length the Benjamini-Hochberg rule bounds the share of random runs among them, from counts of
-p-values on a fixed grid over all documents. What isn't discovered, and is long enough for its encoding that prose would
-have been, is reported as a secret of kind `random`.
-
-Defined results: a null text is empty; documents without spans have zero counts and the digest of an empty string; each
-of repeated rows gets the same result; an empty table gives an empty result; other columns are left out.
+test of serial correlation give the p-value of its being random symbols. Runs with p below LEAST_P are not. Among the
+others false discoveries are controlled in each stratum of encoding and length: p is uniform for random runs and small
+for others, so the runs with p of at least one half tell how many random ones there are; the excess over those is the
+share of false discoveries among the runs at some p or above. A run whose q-value, the least such share over all limits
+that let it in, is at most FALSE_DISCOVERY is reported as a secret of kind `random`.
+
+Matches become rows, and their places are running sums over a document's matches, so a text with any number of them is
+scanned in linear work.
+
+Defined results: a null text is empty; documents without spans have zero counts and the digest of an empty string; ties
+of start are in the order of KINDS, then of ends; each of repeated rows gets the same result; very long texts are
+scanned whole; an empty table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 RANDOM = "random"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that the battery tests: in the alphabet of base64, and in that of its form for URLs; = only pads.
+CANDIDATES = (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings, the first that fits counts: name, pattern, alphabet, least length at which prose would be discovered.
 ENCODINGS = (
@@ -38,50 +44,44 @@ ENCODINGS = (
     ("base64url", r"^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_", 24),
 )
 FALSE_DISCOVERY = 0.05
-#: p-values are kept on a grid of so many steps a decade, rounded up, down to 10 ** (-LAST / GRID).
-GRID, LAST = 20, 400
-BLOCK = 256
+#: p-values are kept on a grid of so many steps a decade, rounded up; steps of EDGE or beyond are too small to be random.
+GRID, LEAST_P = 20, 1e-3
+EDGE = 60
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+def _row(place: int):
+    return lambda x, i: F.struct(F.lit(place).alias("place"), i.alias("i"), F.length(x["gap"]).cast("long").alias("gap"), x["m"].alias("match"))
 
 
-def _before(a: str) -> Column:
-    """For each element the sum of those before it, by sums of blocks, so that long arrays don't cost their length squared."""
-    n = F.size(a)
-    block = lambda b: _sum(F.slice(F.col(a), b * BLOCK + 1, F.lit(BLOCK)))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)
-    starts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: _sum(F.slice(blocks, F.lit(1), b)))
-    inside = lambda i: F.get(starts, F.floor(i / BLOCK).cast("int")) + _sum(F.slice(F.col(a), F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), inside)).otherwise(F.array().cast("array<bigint>"))
+def _found(text: Column) -> Column:
+    """All matches of all patterns in a text, as (place, i, gap, match): the pattern's, the match's number, the code points since the match before. A text without a match of a pattern costs one search."""
+    parts = []
+    for place, pattern in enumerate([k[1] for k in KINDS] + list(CANDIDATES)):
+        both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+        parts.append(F.when(text.rlike(pattern), F.transform(both, _row(place))).otherwise(F.array().cast("array<struct<place:int,i:int,gap:bigint,match:string>>")))
+    return F.filter(F.concat(*parts), lambda x: x["match"].isNotNull())
 
 
-def with_matches(df: DataFrame, out: str, pattern: str) -> DataFrame:
-    """Add `out`: the (start, end, match) of each match of `pattern` in `text`, in code points. Texts without one cost one search."""
-    empty = F.array().cast("array<string>")
-    lengths = lambda c: F.transform(c, lambda x: F.length(x).cast("long"))
-    df = df.withColumn("__has", F.col("text").rlike(pattern))
-    df = df.withColumn("__m", F.when(F.col("__has"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(empty))
-    df = df.withColumn("__gap", F.when(F.col("__has"), lengths(F.slice(F.split("text", pattern, -1), F.lit(1), F.size("__m")))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("__step", F.zip_with("__gap", lengths(F.col("__m")), lambda g, n: g + n)).withColumn("__at", _before("__step"))
-    spans = F.transform(F.arrays_zip(F.col("__at").alias("at"), F.col("__gap").alias("gap"), F.col("__m").alias("m")), lambda x: F.struct((x["at"] + x["gap"]).alias("start"), (x["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("match")))
-    return df.withColumn(out, spans).drop("__has", "__m", "__gap", "__step", "__at")
+def spans_of(rows: DataFrame) -> DataFrame:
+    """(rid, place, start, end, match) in code points, from (rid, found)."""
+    w = Window.partitionBy("rid", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.length("match").cast("long")
+    return rows.select("rid", F.inline("found")).withColumn("end", F.sum(F.col("gap") + n).over(w)).select("rid", "place", (F.col("end") - n).alias("start"), "end", "match")
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """Add `base`: (start, kind's place, end, kind) of each base span, by start and kind."""
-    named = []
-    for place, kind in enumerate(KINDS):
-        docs = with_matches(docs, f"__{kind[0]}", kind[1])
-        named.append(_kept(place, *kind))
-    return docs.withColumn("base", F.array_sort(F.concat(*named))).drop(*[f"__{k[0]}" for k in KINDS])
+def _base(spans: DataFrame) -> DataFrame:
+    """The matches that are long enough."""
+    fits = [(F.col("place") == place) & (F.length(F.regexp_extract("match", pattern, group)) >= least) for place, (_, pattern, group, least) in enumerate(KINDS)]
+    return spans.where(reduce(lambda a, b: a | b, fits))
 
 
-def _kept(place: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """The spans of a kind's matches that are long enough."""
-    long_enough = F.filter(f"__{kind}", lambda x: F.length(F.regexp_extract(x["match"], pattern, group)) >= least)
-    return F.transform(long_enough, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("at"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+def _clear(base: DataFrame, runs: DataFrame) -> DataFrame:
+    """The runs that no base span overlaps: of the base spans that start before a run's end, none ends after its start."""
+    end = F.lit(None).cast("long")
+    both = base.select("rid", "place", "start", "end", "match", F.col("start").alias("at"), F.lit(1).alias("last"), F.col("end").alias("upto"))
+    both = both.union(runs.select("rid", "place", "start", "end", "match", F.col("end").alias("at"), F.lit(0).alias("last"), end.alias("upto")))
+    w = Window.partitionBy("rid").orderBy("at", "last").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("before", F.max("upto").over(w)).where("last = 0 and coalesce(before <= start, true)").select("rid", "place", "start", "end", "match")
 
 
 def _tail(z: Column) -> Column:
@@ -119,45 +119,53 @@ def _battery(tokens: DataFrame) -> DataFrame:
     power = total(F.transform("x", lambda v: v * v))
     z_serial = F.when(power > 0, F.abs(total(products) / power) * F.sqrt(n)).otherwise(F.sqrt(n))
     one_sided = F.when(z_chi >= 0, _tail(z_chi)).otherwise(1 - _tail(-z_chi))
-    p = F.least(F.lit(1.0), 3 * F.least(one_sided, 2 * _tail(z_runs), 2 * _tail(z_serial)))
-    return df.withColumn("p", p)
+    # the least of three, as one p-value (Sidak)
+    return df.withColumn("p", 1 - F.pow(1 - F.least(one_sided, F.lit(1.0), 2 * _tail(z_runs), 2 * _tail(z_serial)), F.lit(3.0)))
+
 
+def q_values(tests: DataFrame) -> DataFrame:
+    """(encoding, size, step, q) from (encoding, size, step, upper): the least share of false discoveries at which runs at `step` of the grid are taken for random.
 
-def discovery_limits(tests: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
-    """(encoding, size, step): in a stratum, runs at `step` of the grid or beyond are discovered not to be random."""
-    w = Window.partitionBy("encoding", "size")
-    hist = tests.groupBy("encoding", "size", "step").agg(F.count("*").alias("n"))
-    hist = hist.withColumn("m", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)))
-    return hist.where(F.pow(F.lit(10.0), -F.col("step") / GRID) * F.col("m") <= q * F.col("upto")).groupBy("encoding", "size").agg(F.min("step").alias("limit"))
+    The strata are a few dozen: an encoding and a power of two each, with at most EDGE steps.
+    """
+    stratum = Window.partitionBy("encoding", "size")
+    hist = tests.groupBy("encoding", "size", "step").agg(F.count("*").alias("n"), F.count(F.when(F.col("upper"), 1)).alias("upper"))
+    random = 2 * (F.sum("upper").over(stratum) + 1)  # p is at least one half for half of the random runs
+    upto = F.sum("n").over(stratum.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    share = 1 - random * (1 - F.pow(F.lit(10.0), -(F.col("step") + 1) / GRID)) / upto
+    hist = hist.withColumn("share", F.greatest(F.lit(0.0), share))
+    return hist.withColumn("q", F.min("share").over(stratum.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0))).select("encoding", "size", "step", "q")
 
 
 def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _count(kind: str) -> Column:
-    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
-
-
 def secret_spans(docs: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random): counts of base spans, their digest, and all spans as text."""
-    docs = with_matches(base_spans(texts(docs)), "runs", CANDIDATE)
-    clear = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])) & r["match"].rlike("[0-9]") & r["match"].rlike("[A-Za-z]"))
-    docs = docs.select("doc_id", "base", clear.alias("runs"))
-    # what is found in a row follows from its runs, so rows with the same runs share it
-    rows = materialize(docs.withColumn("key", F.when(F.size("runs") > 0, F.sha2(F.to_json("runs"), 256))), "spans")
-    runs = rows.where("key is not null").select("key", "runs").dropDuplicates(["key"]).select("key", F.explode("runs").alias("r"))
-    tests = _battery(runs.select(F.col("r.match").alias("token")).distinct())
-    step = F.when(F.col("p") <= 0, LAST).otherwise(F.least(F.lit(LAST), F.floor(-F.log10("p") * GRID))).cast("int")
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, max_q): counts of base spans, their digest, all spans as text, and the largest q-value among random ones."""
+    rows = texts(docs).select("doc_id", F.monotonically_increasing_id().alias("rid"), _found(F.col("text")).alias("found"))
+    rows = materialize(rows, "matches")
+    spans = materialize(spans_of(rows.where(F.size("found") > 0)), "spans")
+    base = _base(spans)
+    runs = spans.where((F.col("place") >= len(KINDS)) & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")).dropDuplicates(["rid", "start", "end"])
+    runs = materialize(_clear(base, runs), "runs")
+    tests = _battery(runs.select(F.col("match").alias("token")).distinct())
+    step = F.floor(-F.log10("p") * GRID).cast("int")
     size = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    tests = materialize(tests.select("token", "encoding", size.alias("size"), step.alias("step")), "battery")
-    limits = F.broadcast(discovery_limits(tests, q))  # at most one row for each encoding and power of two
-    random = tests.join(limits, ["encoding", "size"], "left").where("limit is null or step < limit").select("token")
-    span = F.struct(F.col("r.start").alias("start"), F.lit(len(KINDS)).alias("at"), F.col("r.end").alias("end"), F.lit(RANDOM).alias("kind"))
-    found = runs.join(random, F.col("r.match") == F.col("token")).groupBy("key").agg(F.collect_list(span).alias("found"))
-    out = rows.join(found, "key", "left").withColumn("found", F.coalesce("found", F.slice("base", F.lit(1), F.lit(0))))
-    counts = [_count(k[0]).alias(f"n_{k[0]}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_random"))
+    tests = tests.where(F.col("p") > LEAST_P).select("token", "encoding", size.alias("size"), F.least(F.lit(EDGE - 1), step).alias("step"), (F.col("p") >= 0.5).alias("upper"))
+    tests = materialize(tests, "battery")
+    random = tests.join(F.broadcast(q_values(tests)), ["encoding", "size", "step"]).where(F.col("q") <= q).select(F.col("token").alias("match"), "q")
+    kind = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("place") + 1)
+    all_spans = base.select("rid", "place", "start", "end", kind.alias("kind"), F.lit(None).cast("double").alias("q"))
+    all_spans = all_spans.unionByName(runs.join(random, "match").select("rid", F.lit(len(KINDS)).alias("place"), "start", "end", F.lit(RANDOM).alias("kind"), "q"))
+    of = all_spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind"))).alias("all"), F.max("q").alias("max_q"))
+    none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
+    out = rows.where(F.size("found") > 0).select("rid", "doc_id").join(of, "rid", "left").select("doc_id", F.coalesce("all", none).alias("all"), "max_q")
+    out = out.union(rows.where(F.size("found") == 0).select("doc_id", none.alias("all"), F.lit(None).cast("double").alias("max_q")))
+    count = lambda place: F.size(F.filter("all", lambda x: x["place"] == place)).cast("long")
+    counts = [count(place).alias(f"n_{k[0]}") for place, k in enumerate(KINDS)]
+    fixed = F.filter("all", lambda x: x["place"] < len(KINDS))
+    return out.select("doc_id", *counts, F.sha2(_text_of(fixed), 256).alias("base_sha256"), _text_of(F.col("all")).alias("spans"), count(len(KINDS)).alias("n_random"), F.round("max_q", 6).alias("max_q"))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,21 +184,21 @@ def _quoted(pattern: str) -> str:
 
 def _sql() -> str:
     """The same rows in DuckDB's SQL: matches by position, the battery as aggregates over tokens' characters."""
-    kinds = [(*k[:2], i) for i, k in enumerate(KINDS)] + [(RANDOM, CANDIDATE, len(KINDS))]
-    found = " UNION ALL ".join(f"SELECT rid, {i} AS place, '{k}' AS kind, regexp_extract_all(text, {_quoted(p)}) AS ms, string_split_regex(text, {_quoted(p)}) AS gaps FROM d WHERE regexp_matches(text, {_quoted(p)})" for k, p, i in kinds)
+    patterns = [(k[0], k[1]) for k in KINDS] + [(RANDOM, p) for p in CANDIDATES]
+    found = " UNION ALL ".join(f"SELECT rid, {i} AS place, '{k}' AS kind, regexp_extract_all(text, {_quoted(p)}) AS ms, string_split_regex(text, {_quoted(p)}) AS gaps FROM d WHERE regexp_matches(text, {_quoted(p)})" for i, (k, p) in enumerate(patterns))
     long_enough = " OR ".join(f"(place = {i} AND length(regexp_extract(m, {_quoted(p)}, {g})) >= {n})" for i, (_, p, g, n) in enumerate(KINDS))
     case = lambda value: "CASE " + " ".join(f"WHEN regexp_matches(m, '{e[1]}') THEN {value(e)}" for e in ENCODINGS) + " END"
     counts = ", ".join(f"count(*) FILTER (kind = '{k[0]}') AS n_{k[0]}" for k in KINDS)
     zero = ", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in KINDS)
-    as_text = """string_agg(kind || ':' || "start"::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY "start", place)"""
+    as_text = """string_agg(kind || ':' || "start"::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY "start", place, "end")"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 f AS ({found}),
 e AS (SELECT rid, place, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM f),
 s AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid, place ORDER BY i) AS "end" FROM e),
-spans AS (SELECT rid, place, kind, m, "end" - length(m) AS "start", "end" FROM s),
+spans AS (SELECT rid, least(place, {len(KINDS)}) AS place, kind, m, "end" - length(m) AS "start", "end" FROM s),
 base AS (SELECT * FROM spans WHERE {long_enough}),
-runs AS (SELECT * FROM spans r WHERE place = {len(KINDS)} AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b."start" < r."end" AND r."start" < b."end")),
+runs AS (SELECT DISTINCT * FROM spans r WHERE place = {len(KINDS)} AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b."start" < r."end" AND r."start" < b."end")),
 tok AS (SELECT DISTINCT m, {case(lambda e: f"'{e[0]}'")} AS encoding, {case(lambda e: f"'{e[2]}'")} AS alphabet, {case(lambda e: e[3])} AS least FROM runs),
 body AS (SELECT m, encoding, alphabet, length(alphabet) AS a, CASE WHEN encoding = 'hex' THEN lower(regexp_replace(m, '=+$', '')) ELSE regexp_replace(m, '=+$', '') END AS body, least FROM tok WHERE encoding IS NOT NULL),
 chars AS (SELECT m, any_value(encoding) AS encoding, any_value(a) AS a, any_value(length(body)) AS n, unnest(any_value(string_split(body, ''))) AS c, unnest(range(any_value(length(body)))) AS i, any_value(alphabet) AS alphabet FROM body WHERE length(body) >= least GROUP BY m),
@@ -201,15 +209,16 @@ st AS (SELECT m, any_value(encoding) AS encoding, any_value(a) - 1.0 AS free, an
   count(*) FILTER (x > 0)::DOUBLE AS ones, 1.0 + count(*) FILTER ((x > 0) <> (before > 0)) AS runs, sum(x::DOUBLE * before) AS products, sum(x::DOUBLE * x) AS power FROM y JOIN chi USING (m) GROUP BY m),
 z AS (SELECT *, (pow(chi2 / free, 1 / 3.0) - (1 - 2 / (9 * free))) / sqrt(2 / (9 * free)) AS z_chi, 2 * ones * (n - ones) AS twice FROM st),
 zz AS (SELECT *, CASE WHEN twice * (twice - n) / (n * n * (n - 1)) > 0 THEN abs(runs - twice / n - 1) / sqrt(twice * (twice - n) / (n * n * (n - 1))) ELSE sqrt(n) END AS z_runs, CASE WHEN power > 0 THEN abs(products / power) * sqrt(n) ELSE sqrt(n) END AS z_serial FROM z),
-pv AS (SELECT m, encoding, floor(log2(n))::INT AS size, least(1.0, 3 * least(CASE WHEN z_chi >= 0 THEN {_tail_sql('z_chi')} ELSE 1 - {_tail_sql('(-z_chi)')} END, 2 * {_tail_sql('z_runs')}, 2 * {_tail_sql('z_serial')})) AS p FROM zz),
-tests AS (SELECT m, encoding, size, CASE WHEN p <= 0 THEN {LAST} ELSE least({LAST}, floor(-log10(p) * {GRID})) END::INT AS step FROM pv),
-hist AS (SELECT encoding, size, step, count(*) AS n FROM tests GROUP BY ALL),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY encoding, size) AS total, sum(n) OVER (PARTITION BY encoding, size ORDER BY step DESC) AS upto FROM hist),
-lim AS (SELECT encoding, size, min(step) AS lim FROM cum WHERE pow(10.0, -step / {GRID}::DOUBLE) * total <= {FALSE_DISCOVERY} * upto GROUP BY encoding, size),
-rnd AS (SELECT m FROM tests LEFT JOIN lim USING (encoding, size) WHERE lim IS NULL OR step < lim),
+pv AS (SELECT m, encoding, floor(log2(n))::INT AS size, 1 - pow(1 - least(CASE WHEN z_chi >= 0 THEN {_tail_sql('z_chi')} ELSE 1 - {_tail_sql('(-z_chi)')} END, 1.0, 2 * {_tail_sql('z_runs')}, 2 * {_tail_sql('z_serial')}), 3) AS p FROM zz),
+tests AS (SELECT m, encoding, size, least({EDGE - 1}, floor(-log10(p) * {GRID}))::INT AS step, p >= 0.5 AS upper FROM pv WHERE p > {LEAST_P}),
+hist AS (SELECT encoding, size, step, count(*) AS n, count(*) FILTER (upper) AS upper FROM tests GROUP BY ALL),
+cum AS (SELECT *, 2 * (sum(upper) OVER (PARTITION BY encoding, size) + 1) AS random, sum(n) OVER (PARTITION BY encoding, size ORDER BY step) AS upto FROM hist),
+shares AS (SELECT encoding, size, step, greatest(0.0, 1 - random * (1 - pow(10.0, -(step + 1) / {GRID}::DOUBLE)) / upto) AS share FROM cum),
+qs AS (SELECT encoding, size, step, min(share) OVER (PARTITION BY encoding, size ORDER BY step DESC) AS q FROM shares),
+rnd AS (SELECT m, q FROM tests JOIN qs USING (encoding, size, step) WHERE q <= {FALSE_DISCOVERY}),
 b AS (SELECT rid, {counts}, {as_text} AS base FROM base GROUP BY rid),
-o AS (SELECT rid, {as_text} AS spans, count(*) FILTER (kind = '{RANDOM}') AS n_random FROM (SELECT * FROM base UNION ALL SELECT runs.* FROM runs SEMI JOIN rnd USING (m)) GROUP BY rid)
-SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random FROM d LEFT JOIN b USING (rid) LEFT JOIN o USING (rid)
+o AS (SELECT rid, {as_text} AS spans, count(*) FILTER (kind = '{RANDOM}') AS n_random, max(q) AS max_q FROM (SELECT *, NULL::DOUBLE AS q FROM base UNION ALL SELECT runs.*, q FROM runs JOIN rnd USING (m)) GROUP BY rid)
+SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random, round(max_q, 6) AS max_q FROM d LEFT JOIN b USING (rid) LEFT JOIN o USING (rid)
 """
 
 
