@@ -2,18 +2,20 @@
 
 A byte is eight binary decisions, a path in a tree of 255 nodes. For each of the last 0 to DEPTH bytes as context, a node
 has a Krichevsky-Trofimov estimate from its counts over the training texts. Weighting mixes the estimates of all depths:
-a node's share is its own sequence's probability against the product of its children's, both computed from the counts of
-the whole corpus, level by level, as grouped aggregates. A context that was never seen adds nothing: the deepest seen
-one stands for it. A text's score is the log10 probability of its bytes, A-Z in lower case, and an end mark (byte 255,
-which no UTF-8 text holds).
+a node's share is its own sequence's probability against the product of its children's. Counts and shares are computed
+bottom-up and mixtures top-down, level by level, as grouped tables of all contexts in the corpus; a context that training
+never saw has counts of zero, and so an estimate of one half. A text's score is the log10 probability of its bytes, A-Z
+in lower case, and an end mark (byte 255, which no UTF-8 text holds).
 
-What is gathered grows with the corpus: counts of all byte and word sequences. What tasks hold is bounded: tables of
-SLOTS nodes for each depth, where of two nodes with one slot the one with more counts stays, and KNOWN words. Words
-beyond those are counted by a join.
+What is gathered grows with the corpus: the counts, the mixture, and a value for each sequence of a context and a byte.
+What a task holds is bounded: the values of the KEPT most frequent sequences, and of KNOWN words. It looks up its texts'
+sequences there by their whole keys; what it doesn't find it emits, and equality joins with the tables give the rest.
 
 Defined results: a null text is empty and scores its end mark alone; a null doc_id is in no fold, learnt from and not
-held out; each of repeated rows counts and is scored; without training rows all estimates are one half and no word is
-known; an empty table gives an empty result; other columns are left out.
+held out; each of repeated rows counts and is scored; of words or sequences that tie in frequency either all or none are
+held by tasks, which changes no score; very long texts are scored whole, in blocks; without training rows all estimates
+are one half and no word is known; an empty table gives an empty result; other columns, whatever their names, are left
+out.
 """
 
 from __future__ import annotations
@@ -27,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, some, table, texts, utf8
+from .common import fold, materialize, partitions, some, table, texts, utf8
 
-DEPTH, SLOTS = 5, 1 << 20
+#: Bytes of context; and sequences whose values tasks hold.
+DEPTH, KEPT = 5, 1 << 20
 #: Words, of at most so many bytes, whose counts the scoring tasks hold.
 KNOWN, WORD = 1 << 17, 64
 MARK = 255
 #: The registered query learns from documents whose crc32 of the id leaves another remainder by FOLDS than HELD.
 FOLDS, HELD = 7, 2
-#: Bytes that are scored at once, sequences that a task gathers before it passes them on, and a task's memory of scored ones.
-BLOCK, GATHER, MEMORY = 1 << 19, 1 << 20, 1 << 20
+#: Bytes that are scored at once, and sequences that a task gathers before it passes them on.
+BLOCK, GATHER = 1 << 19, 1 << 20
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
 
@@ -68,51 +71,59 @@ def blocks(docs: list[bytes]) -> Iterator[list[int]]:
 
 
 def corpus_counts(docs: DataFrame, use: Column, depth: int = DEPTH) -> DataFrame:
-    """(seq, word, n): how often each byte sequence and each word (the other is null) is in the texts that `use` allows; texts' ends count as an empty word."""
+    """(seq, word, n, every): how often each byte sequence and each word (the other is null) is in the texts that `use` allows, and in all; texts' ends count as an empty word, and words of other texts are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        keys, counts, fresh, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held, fresh, size = empty, [], 0
+        names = ["seq", "word", "n", "every"]
 
         def of_words():
-            columns = [pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["seq", "word", "n"])
+            n = pa.array(list(words.values()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), n, n], names)
 
         def of_sequences():
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(counts)], ["seq", "word", "n"])
+            keys, n, every = held
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n), pa.array(every)], names)
 
         def merge():
-            nonlocal keys, counts, fresh, held
-            k = [np.unique(x, return_counts=True) for x in fresh]
-            every, n = np.concatenate([keys, *(x[0] for x in k)]), np.concatenate([counts, *(x[1] for x in k)])
-            keys, place = np.unique(every, return_inverse=True)
-            counts, fresh, held = np.bincount(place, n, len(keys)).astype(np.int64), [], 0
+            nonlocal held, fresh, size
+            parts = [held] + [(k, c * used, c) for used, (k, c) in ((used, np.unique(x, return_counts=True)) for used, x in fresh)]
+            keys, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            n, every = (np.bincount(place, np.concatenate([x[i] for x in parts]), len(keys)).astype(np.int64) for i in (1, 2))
+            held, fresh, size = (keys, n, every), [], 0
 
         for b in some(batches):
-            docs = [t.lower() for t in utf8(b["text"])]
-            for some_docs in blocks(docs):
-                k = sequences([docs[i] for i in some_docs], depth)[0]
-                fresh.append(k)
-                held += len(k)
-                if held > GATHER:
-                    merge()
-            for d in docs:
-                words.update(d.split())
-            words[b""] += len(docs)
+            docs, use = [t.lower() for t in utf8(b["text"])], b["use"].to_pylist()
+            for used in (True, False):
+                mine = [d for d, u in zip(docs, use, strict=True) if bool(u) is used]
+                for some_docs in blocks(mine):
+                    k = sequences([mine[i] for i in some_docs], depth)[0]
+                    for at in range(0, len(k), BLOCK):
+                        fresh.append((used, k[at : at + BLOCK]))
+                    size += len(k)
+                    if size > GATHER:
+                        merge()
+                for d in mine if used else ():
+                    words.update(d.split())
+                if used and mine:
+                    words[b""] += len(mine)
             if len(words) > 150_000:
                 yield of_words()
                 words = Counter()
-            if len(keys) > GATHER:
+            if len(held[0]) > GATHER:
                 yield of_sequences()
-                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                held = empty
         if fresh:
             merge()
         if words:
             yield of_words()
-        if len(keys):
+        if len(held[0]):
             yield of_sequences()
 
-    return docs.where(use).select("text").mapInArrow(run, "seq long, word binary, n long").groupBy("seq", "word").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", use.alias("use")).mapInArrow(run, "seq long, word binary, n long, every long")
+    return rows.groupBy("seq", "word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -129,13 +140,14 @@ def _kt(zeros: str, ones: str) -> Column:
 
 
 def tree(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """For each depth a table (ctx, node, zeros, ones, own): counts, and the weight of the node's own estimate against its children's mixture."""
+    """For each depth a table (ctx, node, zeros, ones, own, log_p): counts, and the weight of the node's own estimate against its children's mixture. The deepest also has how often all texts hold its two bits."""
     bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")
-    leaf = counts.where("seq is not null").select(F.shiftrightunsigned("seq", 8).alias("ctx"), F.col("seq").bitwiseAND(F.lit(255)).alias("byte"), "n", bits)
+    leaf = counts.where("seq is not null").select(F.shiftrightunsigned("seq", 8).alias("ctx"), F.col("seq").bitwiseAND(F.lit(255)).alias("byte"), "n", "every", bits)
     node = F.expr("cast(shiftleft(1, bit) + shiftright(byte, 8 - bit) as int)").alias("node")
     one = F.expr("shiftright(byte, 7 - bit) & 1") == 1
-    rows = leaf.select("ctx", node, F.when(one, 0).otherwise(F.col("n")).alias("zeros"), F.when(one, F.col("n")).otherwise(0).alias("ones"))
-    level = rows.groupBy("ctx", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    split = lambda c: (F.sum(F.when(one, 0).otherwise(F.col(c))), F.sum(F.when(one, F.col(c)).otherwise(0)))
+    (zeros, ones), (all0, all1) = split("n"), split("every")
+    level = leaf.groupBy("ctx", node).agg(zeros.alias("zeros"), ones.alias("ones"), all0.alias("all0"), all1.alias("all1"))
     level = materialize(level.withColumn("own", F.lit(1.0)).withColumn("log_p", _kt("zeros", "ones")), "contexts")
     out = [level]
     for d in range(depth - 1, -1, -1):
@@ -148,121 +160,136 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     return out[::-1]
 
 
-def slot_and_tag(ctx: np.ndarray, node: np.ndarray, slots: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """A node's place, and what tells it from others there. Contexts so short that all have a place are not hashed."""
-    key = (ctx << U(8)) | node
-    if 1 << (8 * depth + 8) <= slots:
-        return key.astype(np.int64), np.ones(len(key), np.uint16)
-    h = key * MIX
-    h = (h ^ (h >> U(29))) * MIX
-    return (h >> U(64 - int(slots).bit_length() + 1)).astype(np.int64), ((h & U(0xFFFF)) | U(1)).astype(np.uint16)
-
-
-class Tables:
-    """The mixture as arrays of a fixed size: for each depth a tag (0: empty), the estimate of a one, and the node's own weight."""
-
-    def __init__(self, depth: int, slots: int):
-        self.depth, self.slots = depth, [min(slots, 1 << (8 * d + 8)) for d in range(depth + 1)]
-        self.tag = [np.zeros(n, np.uint16) for n in self.slots]
-        self.one = [np.full(n, 0.5, np.float32) for n in self.slots]
-        self.own = [np.ones(n, np.float32) for n in self.slots]
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """The log10 probability of the last byte of each sequence after those before it."""
-        byte, total = keys & U(255), np.zeros(len(keys))
-        for bit in range(8):
-            node = (U(1) << U(bit)) + (byte >> U(8 - bit))
-            p, rest, alive = np.zeros(len(keys)), np.ones(len(keys)), np.ones(len(keys), bool)
-            last = np.full(len(keys), 0.5)
-            for d in range(self.depth + 1):
-                slot, tag = slot_and_tag((keys >> U(8)) & U((1 << (8 * d)) - 1), node, self.slots[d], d)
-                alive &= self.tag[d][slot] == tag
-                last = np.where(alive, self.one[d][slot], last)
-                own = np.where(alive, self.own[d][slot], 0)
-                p += rest * own * last
-                rest *= 1 - own
-            p += rest * last  # what deeper contexts would have had
-            bit_is_one = ((byte >> U(7 - bit)) & U(1)).astype(bool)
-            total += np.log10(np.where(bit_is_one, p, 1 - p))
-        return total
-
-
-def tables(levels: list[DataFrame], slots: int = SLOTS) -> Tables:
-    """Bring each level to the driver in its bounded form: one row a slot, chosen where the counts are."""
-    out = Tables(len(levels) - 1, slots)
-
-    for d, level in enumerate(levels):
-        size = out.slots[d]
-
-        def place(batches: Iterator[pa.RecordBatch], size=size, d=d) -> Iterator[pa.RecordBatch]:
-            for b in some(batches):
-                c = {k: b[k].to_numpy(zero_copy_only=False) for k in b.schema.names}
-                slot, tag = slot_and_tag(c["ctx"].view(np.uint64), c["node"].astype(np.uint64), size, d)
-                n = c["zeros"] + c["ones"]
-                one = ((c["ones"] + 0.5) / (n + 1)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(tag.astype(np.int32)), pa.array(n), pa.array(one), pa.array(c["own"].astype(np.float32))], ["slot", "tag", "n", "one", "own"])
-
-        placed = level.select("ctx", "node", "zeros", "ones", "own").mapInArrow(place, "slot int, tag int, n long, one float, own float")
-        best = placed.groupBy("slot").agg(F.max(F.struct("n", "tag", "one", "own")).alias("best")).select("slot", "best.tag", "best.one", "best.own").toArrow()
-        at = best["slot"].to_numpy()
-        out.tag[d][at] = best["tag"].to_numpy().astype(np.uint16)
-        out.one[d][at] = best["one"].to_numpy()
-        out.own[d][at] = best["own"].to_numpy()
-    return out
+def mixture(levels: list[DataFrame]) -> DataFrame:
+    """(ctx, node, p, all0, all1) of the deepest contexts: the mixed probability of a one over all depths."""
+    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    above = levels[0].select("ctx", "node", (F.col("own") * estimate).alias("p"), (1 - F.col("own")).alias("rest"))
+    for d, level in enumerate(levels[1:], 1):
+        up = above.select(F.col("ctx").alias("up"), F.col("node").alias("of"), F.col("p").alias("above"), "rest")
+        met = level.join(up, (level["ctx"].bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1)) == up["up"]) & (level["node"] == up["of"]))
+        more = ["all0", "all1"] if d == len(levels) - 1 else []
+        above = met.select("ctx", "node", (F.col("above") + F.col("rest") * F.col("own") * estimate).alias("p"), (F.col("rest") * (1 - F.col("own"))).alias("rest"), *more)
+        if d < len(levels) - 1:
+            above = materialize(above, "mixture")
+    return above.drop("rest")
 
 
-def known_words(words: DataFrame, most: int = KNOWN) -> dict[bytes, int]:
-    """The most frequent words, by whole steps of frequency, so that there are at most `most` of them."""
-    short = words.where(F.length("word") <= WORD).withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 16))
-    steps = sorted(short.groupBy("step").count().collect(), reverse=True)
+def values(mixed: DataFrame) -> DataFrame:
+    """(seq, every, value): the log10 probability of the byte of each sequence in the corpus after its context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list = []
+
+        def out(rows: list) -> Iterator[pa.RecordBatch]:
+            ctx, node, p, all0, all1 = (np.concatenate([r[i] for r in rows]) for i in range(5))
+            # nodes of a context are next to each other and in order: an ancestor is found among them
+            key = (ctx.view(np.uint64) << U(8)) | node.astype(np.uint64)
+            last = np.nonzero(node >= 128)[0]
+            total = np.zeros(len(last))
+            for up in range(1, 8):
+                at = np.searchsorted(key, (ctx[last].view(np.uint64) << U(8)) | (node[last].astype(np.uint64) >> U(up)))
+                bit = (node[last] >> (up - 1)) & 1
+                total += np.log10(np.where(bit == 1, p[at], 1 - p[at]))
+            for bit, every in ((0, all0), (1, all1)):
+                here = every[last] > 0
+                seq = (ctx[last] << 8) | ((node[last].astype(np.int64) - 128) * 2 + bit)
+                value = total + np.log10(p[last] if bit else 1 - p[last])
+                yield pa.RecordBatch.from_arrays([pa.array(seq[here]), pa.array(every[last][here]), pa.array(value[here])], ["seq", "every", "value"])
+
+        for b in batches:
+            rows = [b[k].to_numpy(zero_copy_only=False) for k in ("ctx", "node", "p", "all0", "all1")]
+            # whole contexts, which have at most 255 rows, are done; the last may go on
+            ends = np.nonzero(np.diff(rows[0]))[0] + 1
+            if not len(ends):
+                kept.append(rows)
+                continue
+            yield from out([*kept, [r[: ends[-1]] for r in rows]])
+            kept = [[r[ends[-1] :] for r in rows]]
+        if kept and len(kept[0][0]):
+            yield from out(kept)
+
+    dealt = mixed.repartition(partitions(mixed.sparkSession), "ctx").sortWithinPartitions("ctx", "node")
+    return dealt.select("ctx", "node", "p", "all0", "all1").mapInArrow(run, "seq long, every long, value double")
+
+
+def kept_values(of: DataFrame, most: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """(sequences in order, values) of the most frequent sequences, by whole steps of frequency, so that there are at most `most` of them."""
+    steps = of.withColumn("step", F.floor(F.log2(F.col("every").cast("double")) * 16))
+    least = _last_step(steps, most)
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    t = steps.where(F.col("step") >= least).select("seq", "value").toArrow()
+    seq = t["seq"].to_numpy().view(np.uint64)
+    order = np.argsort(seq)
+    return seq[order], t["value"].to_numpy()[order]
+
+
+def _last_step(rows: DataFrame, most: int) -> int | None:
+    """The least step down to which there are at most `most` rows."""
     total, least = 0, None
-    for step, n in steps:
+    for step, n in sorted(rows.groupBy("step").count().collect(), reverse=True):
         total += n
         if total > most:
             break
         least = step
+    return least
+
+
+def known_words(words: DataFrame, most: int = KNOWN) -> dict[bytes, int]:
+    """The most frequent words, by whole steps of frequency, so that there are at most `most` of them."""
+    short = words.where(F.length("word") <= WORD).withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 16))
+    least = _last_step(short, most)
     if least is None:
         return {}
     t = short.where(F.col("step") >= least).select("word", "n").toArrow()
     return dict(zip(t["word"].to_pylist(), t["n"].to_pylist(), strict=True))
 
 
-class Scorer:
-    """Scores of texts, with a memory of the sequences that were scored before."""
+class Lookup:
+    """Values of sequences, found by whole keys: a table of slots finds most, a binary search the others."""
+
+    def __init__(self, seq: np.ndarray, value: np.ndarray):
+        self.seq, self.value = np.append(seq, U(0xFFFFFFFFFFFFFFFF)), np.append(value, 0.0)
+        bits = max(4, len(self.seq).bit_length())
+        self.shift = U(64 - bits)
+        self.slot = np.full(1 << bits, len(seq), np.int32)
+        self.slot[self.place(seq)] = np.arange(len(seq), dtype=np.int32)
 
-    def __init__(self, t: Tables):
-        self.t, self.key, self.value = t, np.full(MEMORY, U(0xFFFFFFFFFFFFFFFF)), np.zeros(MEMORY)
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * MIX) >> self.shift).astype(np.int64)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = ((keys * MIX) >> U(64 - MEMORY.bit_length() + 1)).astype(np.int64)
-        out, miss = self.value[at], np.nonzero(self.key[at] != keys)[0]
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, 0 where there is none; the numbers of the keys that aren't held)."""
+        at = self.slot[self.place(keys)]
+        miss = np.nonzero(self.seq[at] != keys)[0]
         if len(miss):
-            fresh, place = np.unique(keys[miss], return_inverse=True)
-            scored = self.t.log10(fresh)
-            out[miss] = scored[place]
-            spot = ((fresh * MIX) >> U(64 - MEMORY.bit_length() + 1)).astype(np.int64)
-            # of several sequences in a spot, numpy keeps the last for both arrays alike
-            self.key[spot], self.value[spot] = fresh, scored
-        return out
+            at[miss] = np.searchsorted(self.seq[:-1], keys[miss])
+        found = self.seq[at] == keys
+        return np.where(found, self.value[at], 0.0), np.nonzero(~found)[0]
 
 
-def score(docs: DataFrame, t: Tables, known: dict[bytes, int]) -> DataFrame:
-    """(doc_id, n_tokens, n_known, logs, rare, score) for (doc_id, text): of words in `known` the number and the sum of log10(count + 1); the others with their number; and the model's log10 probability."""
+def score(docs: DataFrame, kept: tuple[np.ndarray, np.ndarray], known: dict[bytes, int], depth: int) -> DataFrame:
+    """(doc_id, n_tokens, n_known, logs, rare, score, open) for (doc_id, text): of words in `known` the number and the sum of log10(count + 1), the others with their number; of sequences in `kept` the sum of values, the others with their number."""
     sc = docs.sparkSession.sparkContext
-    model, words = sc.broadcast(t), sc.broadcast(known)
+    model = sc.broadcast((kept, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, of = Scorer(model.value), {w: (n, math.log10(n + 1)) for w, n in words.value.items()}
-        pair = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        for b in some(batches):
+        (seq, value), words = model.value
+        look, of = Lookup(seq, value), {w: (n, math.log10(n + 1)) for w, n in words.items()}
+        for b in some(batches, 500):
             docs = [x.lower() for x in utf8(b["text"])]
-            scores = np.zeros(len(docs))
+            scores, rest = np.zeros(len(docs)), [[] for _ in docs]
             for block in blocks(docs):
-                keys, start = sequences([docs[i] for i in block], t_depth)
-                p = np.concatenate([scorer(keys[i : i + BLOCK]) for i in range(0, len(keys), BLOCK)])
+                keys, start = sequences([docs[i] for i in block], depth)
+                p = np.empty(len(keys))
+                for at in range(0, len(keys), BLOCK):
+                    p[at : at + BLOCK], miss = look(keys[at : at + BLOCK])
+                    owner = np.searchsorted(start, miss + at, "right") - 1
+                    for i in np.unique(owner).tolist():
+                        rest[block[i]].append(keys[at + miss[owner == i]])
                 scores[block] = np.add.reduceat(p, start)
             out = []
-            for d in docs:
+            for d, miss in zip(docs, rest, strict=True):
                 c = Counter(d.split())
                 total, seen, logs, rare = sum(c.values()) + 1, 0, 0.0, []
                 c[b""] += 1
@@ -272,32 +299,37 @@ def score(docs: DataFrame, t: Tables, known: dict[bytes, int]) -> DataFrame:
                         logs += n * of[w][1]
                     else:
                         rare.append({"word": w, "n": n})
-                out.append((total, seen, logs, rare))
+                seq, times = np.unique(np.concatenate(miss), return_counts=True) if miss else ((), ())
+                out.append((total, seen, logs, rare, [{"seq": s, "n": n} for s, n in zip(np.asarray(seq, np.uint64).view(np.int64).tolist(), list(times), strict=True)], len(d)))
             columns = zip(*out, strict=True)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pair)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(scores)], ["doc_id", "n_tokens", "n_known", "logs", "rare", "score"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])), pa.list_(pa.struct([("seq", pa.int64()), ("n", pa.int64())])), pa.int64())
+            names = ["doc_id", "n_tokens", "n_known", "logs", "rare", "open", "n_bytes", "score"]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(scores)], names)
 
-    t_depth = t.depth
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, logs double, rare array<struct<word: binary, n: long>>, score double")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, logs double, rare array<struct<word: binary, n: long>>, open array<struct<seq: long, n: long>>, n_bytes long, score double")
 
 
-def lm_scores(docs: DataFrame, held: Column, depth: int = DEPTH, slots: int = SLOTS, most: int = KNOWN) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for all rows of `docs`, learning from those that are not `held`."""
+def lm_scores(docs: DataFrame, held: Column, depth: int = DEPTH, kept: int = KEPT, most: int = KNOWN) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for all rows of `docs`, learning from those that are not `held`; `bits_per_byte` is the model's code length, the end mark counted as a byte."""
     docs = texts(docs)
     counts = materialize(corpus_counts(docs, ~held, depth), "counts")
     words = counts.where("word is not null").select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    t = tables(tree(counts, depth), slots)
-    rows = score(docs, t, known_words(words, most)).withColumn("row", F.monotonically_increasing_id())
+    of = materialize(values(mixture(tree(counts, depth))), "values")
+    rows = score(docs, kept_values(of, kept), known_words(words, most), depth).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "scores")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     more = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = rows.drop("rare").join(more, "row", "left")
+    open_ = rows.select("row", F.explode("open").alias("o")).select("row", F.col("o.seq").alias("seq"), F.col("o.n").alias("times"))
+    rest = open_.join(of, "seq").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("rest"))
+    out = rows.drop("rare", "open").join(more, "row", "left").join(rest, "row", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     base = logs - F.col("n_tokens") * math.log10(total + distinct + 1)
     n_known = F.col("n_known") + F.coalesce("more_known", F.lit(0))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    whole = F.col("score") + F.coalesce("rest", F.lit(0.0))
+    bits = -whole / math.log10(2) / (F.col("n_bytes") + 1)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"), bits.alias("bits_per_byte"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
