@@ -1,16 +1,19 @@
 """Media columns: Netpbm and BMP pictures as numpy arrays, area-resized by integral images, written as NPY tiles with difference hashes.
 
-Everything is per row in bounded blocks of picture rows; Spark partitions the work and nothing is shuffled.
+Everything is per row in bounded blocks of samples; Spark partitions the work and nothing is shuffled. Texts become
+pictures in a table of their own, a media column in the shared folder, and features are computed from what is read back.
 
-Defined results: null media or text is empty; an empty text has a payload of 64 zero bytes; bytes that no decoder knows
-give null features in `media_features`; pictures without samples are refused like unknown ones; an empty table gives an
-empty result; other columns are left out.
+Defined results: null media or text is empty; an empty text has a payload of 64 zero bytes; bytes that no decoder knows,
+or whose header and size disagree, give null features in `media_features`; pictures without samples are refused like
+unknown ones; ties of neighbouring samples are zero bits of the hash; equal and repeated rows get equal values; very
+long texts are stored whole; an empty table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import some, table, texts, utf8
+from .common import materialize, some, table, texts, utf8
 
-WIDTH, SIDE = 64, 32
-#: Picture rows that are summed at once.
-BLOCK = 4096
+WIDTH, SIDE = 64, 16
+#: Samples that are summed at once, at least a row of the picture; and the digits that a number in a header can have.
+BLOCK, DIGITS = 1 << 18, 9
 
 
 # ---- Netpbm -------------------------------------------------------------------------------------------------------
@@ -48,8 +52,8 @@ def _header(data: bytes, count: int) -> tuple[list[int], int]:
         end = at
         while end < len(data) and data[end : end + 1].isdigit():
             end += 1
-        if end == at:
-            raise ValueError("a number is missing in the header")
+        if not 0 < end - at <= DIGITS:
+            raise ValueError("a number is missing in the header, or too long")
         numbers.append(int(data[at:end]))
         at = end
     return numbers, at + 1
@@ -67,7 +71,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if w < 1 or h < 1 or not 0 < most < 65536:
         raise ValueError("impossible size")
     shape = (h, w, 3) if kind in (b"P3", b"P6") else (h, w)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
+    if n > 8 * len(data):
+        raise ValueError("fewer bytes than samples")
     if kind == b"P4":
         stride = (w + 7) // 8
         rows = np.frombuffer(data, np.uint8, stride * h, at).reshape(h, stride)
@@ -77,7 +83,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         found = found[(found == 48) | (found == 49)][:n] - 48
         return 1 - found.reshape(shape)
     if kind in (b"P2", b"P3"):
-        found = np.array(data[at - 1 :].split()[:n], dtype=np.int64)
+        found = np.array(data[at - 1 :].split(None, n)[:n], dtype="S9").astype(np.int64)  # longer ones are cut, and too large still
+        if (found > most).any():
+            raise ValueError("a sample is above the largest value")
     else:
         found = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at)
     return found.reshape(shape).astype(np.uint8 if most < 256 else np.uint16)
@@ -138,8 +146,9 @@ def area_resize(samples: np.ndarray, rows: int, columns: int) -> np.ndarray:
     x0 = np.minimum(xs.astype(int), w - 1)
     out, carry = np.zeros((rows + 1, columns + 1)), np.zeros(columns + 1)
     y0 = np.minimum(ys.astype(int), h - 1)
-    for at in range(0, h, BLOCK):
-        part = samples[at : at + BLOCK]
+    step = max(1, BLOCK // w)
+    for at in range(0, h, step):
+        part = samples[at : at + step]
         across = np.zeros((len(part), w + 1))
         np.cumsum(part, axis=1, dtype=np.float64, out=across[:, 1:])
         lines = across[:, x0] + (across[:, x0 + 1] - across[:, x0]) * (xs - x0)
@@ -175,7 +184,7 @@ def media_features(rows: DataFrame, id_col: str = "doc_id", media_col: str = "me
                 try:
                     x = decode(data or b"")
                     out.append((x.shape[0], x.shape[1], x.shape[2] if x.ndim == 3 else 1, tile(x, side), difference_hash(x)))
-                except (ValueError, struct.error):
+                except (ValueError, OverflowError, struct.error):
                     out.append((None,) * 5)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([b[id_col], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [id_col, "height", "width", "channels", "tile", "dhash"])
@@ -188,28 +197,46 @@ def pack(data: bytes, width: int = WIDTH) -> bytes:
     return data + bytes(-len(data) % width or (0 if data else width))
 
 
-def text_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Store each text losslessly as a grey map `width` samples wide, read it back, and give its digests and features."""
+def stored_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_bytes, format, media): each text as a picture `width` samples wide, a grey map or a grey BMP by the parity of its bytes' crc32."""
 
     def one(data: bytes) -> tuple:
-        stored = encode_pgm(np.frombuffer(pack(data, width), np.uint8).reshape(-1, width))
-        x = decode(stored)
-        back = x.tobytes()
-        feature = f"{difference_hash(x)}:{hashlib.sha256(tile(x)).hexdigest()[:16]}:{x.shape[0]}x{x.shape[1]}"
-        sha = lambda v: hashlib.sha256(v).hexdigest()
-        return len(data), len(back), sha(back), zlib.crc32(back[-width:]), len(stored), sha(stored), feature
-
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        samples = np.frombuffer(pack(data, width), np.uint8).reshape(-1, width)
+        odd = zlib.crc32(data) & 1
+        return len(data), "bmp" if odd else "pgm", (encode_bmp if odd else encode_pgm)(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
-            columns = zip(*map(one, utf8(b["text"])), strict=True)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
+            n, kind, media = zip(*map(one, utf8(b["text"])), strict=True)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(kind), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "format", "media"])
 
     docs = texts(docs)
-    spec = ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in zip(names, kinds, strict=True))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {spec}")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, format string, media binary")
+
+
+def text_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Store each text losslessly as a picture in a table, read that back, and give its digests, features and tile."""
+
+    def one(media: bytes) -> tuple:
+        x = decode(media)
+        back, npy, shown = x.tobytes(), tile(x), difference_hash(x)
+        feature = f"{shown}:{hashlib.sha256(npy).hexdigest()[:16]}:{x.shape[0]}x{x.shape[1]}"
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-width:]), feature, npy, shown
+
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "tile", "dhash"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            columns = zip(*map(one, b["media"].to_pylist()), strict=True)
+            same = ["doc_id", "n_bytes", "media_bytes", "media_sha256", "format"]
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in same), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*same, *names])
+
+    stored = materialize(stored_texts(docs, width), "media")
+    stored = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    ddl = ", ".join(f"{n} {({pa.string(): 'string', pa.binary(): 'binary'}).get(k, 'long')}" for n, k in zip(names, kinds, strict=True))
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    return stored.mapInArrow(run, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string, format string, {ddl}")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
