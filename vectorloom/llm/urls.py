@@ -1,22 +1,26 @@
 """URL filters: host and path rules, and regular-expression rules that are indexed by their rarest literal token.
 
-A pattern rule names literal tokens (runs of letters and digits) that every URL it matches holds. The rarest of them in
-the table at hand indexes the rule; a URL's tokens fetch candidate rules by an equality join, and only those run their
+A pattern rule's literal tokens follow from its regular expression: runs of letters and digits that every URL it matches
+holds, as whole tokens where the pattern says so, else as pieces of GRAM characters. The rarest of them in the table at
+hand indexes the rule; a URL's tokens and pieces fetch candidate rules by an equality join, and only those run their
 regular expression. Host rules work alike: the domains that a host ends in are looked up, and the longest rule wins.
 
-Defined results: a null URL, or one without ://, has an empty host and path, fits no host rule and no pattern; repeated
-rows each get their result; an empty table gives an empty result; other columns are left out.
+Defined results: a null URL, or one without ://, has an empty host and path, fits no host rule and no pattern; of host
+rules of one length the last in code point order wins; repeated rows each get their result; very long URLs are read
+whole; an empty table gives an empty result; other columns, whatever their names, are left out. A pattern without a
+literal of GRAM letters or digits, or a whole token, is refused.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, table
+from .common import LOWER, SMALL, UPPER, ascii_lower, join_hot, materialize, table
 
 
 @dataclass(frozen=True)
@@ -32,10 +36,38 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """Blocks URLs that `pattern` matches, letters in lower case; each match must hold all of `tokens` as whole tokens."""
+    """Blocks URLs that `pattern` matches, letters in lower case."""
 
     pattern: str
-    tokens: Sequence[str] = field(default_factory=tuple)
+
+    @property
+    def keys(self) -> frozenset[str]:
+        """What each match holds: whole tokens, and pieces (marked by a leading ~) of literals that may be parts of longer tokens."""
+        whole, pieces = set(), set()
+        for run in _literals(self.pattern):
+            for m in re.finditer(TOKEN, run):
+                if 0 < m.start() and m.end() < len(run):
+                    whole.add(m[0])
+                pieces |= {"~" + m[0][i : i + GRAM] for i in range(len(m[0]) - GRAM + 1)}
+        if not whole | pieces:
+            raise ValueError(f"no literal to index {self.pattern!r} by")
+        return frozenset(whole | pieces)
+
+
+def _literals(pattern: str) -> list[str]:
+    """The literal runs that each match of the pattern holds: what is left of it outside groups, classes and optional parts."""
+    flat = re.sub(r"\[(?:\\.|[^\]\\])*\]", "\0", pattern)  # classes
+    while "(" in flat.replace(r"\(", ""):  # groups, from the inside
+        less = re.sub(r"(?<!\\)\((?:\\.|[^()\\])*\)", "\0", flat)
+        if less == flat:
+            break
+        flat = less
+    if "|" in flat.replace(r"\|", ""):
+        return []
+    flat = re.sub(r"(?:\\.|[^\\])(?:[*?]|\{0?,\d*\})", "\0", flat)  # what may be missing
+    flat = re.sub(r"[+]|\{\d+(?:,\d*)?\}", "\0", flat)
+    flat = re.sub(r"\\[A-Za-z]|(?<!\\)[.^$]", "\0", flat)
+    return [x.replace("\\", "") for x in flat.split("\0") if x]
 
 
 HOST_RULES = (
@@ -45,14 +77,22 @@ HOST_RULES = (
     HostRule("block", "net", "/es/"),
     HostRule("block", "net", "/fr/"),
 )
+#: Fixed lists that the pattern rules are made from: names of spam hosts, of query parameters that mark feeds and
+#: sessions, of pages that no text is on, and of files that are not text.
+SPAM_WORDS = "casino poker roulette jackpot betting lottery viagra cialis pharmacy payday forex dating escort xxx porn camgirls warez torrent keygen replica".split()
+SPAM_PAIRS = "spam-farm cheap-pills free-gift fast-loan quick-money work-home miracle-cure weight-loss".split()
+FEEDS = "utm_source=feed utm_medium=rss phpsessid jsessionid sessionid replytocom add-to-cart orderby gclid fbclid".split()
+NO_TEXT = "wp-login wp-admin cgi-bin xmlrpc checkout signin register password-reset shopping-cart search-results".split()
+FILES = "exe apk msi dmg iso zip rar torrent mp3 mp4 avi".split()
+TOKEN, GRAM = r"[a-z0-9]+", 3
 PATTERN_RULES = (
-    PatternRule(r"^https?://([a-z0-9-]+\.)*spam-farm\.", ("spam", "farm")),
-    PatternRule(r"^https?://([a-z0-9-]+\.)*cheap-pills\.", ("cheap", "pills")),
-    PatternRule(r"^https?://([a-z0-9-]+\.)*casino[a-z0-9-]*\.", ()),
-    PatternRule(r"[?&]utm_source=feed(&|#|$)", ("utm", "source", "feed")),
-    PatternRule(r"^https?://m\.[^/?#]+/[a-z]{2}/[0-9]+\.html?$", ("m", "html")),
+    *(PatternRule(rf"^https?://([a-z0-9-]+\.)*{w}[a-z0-9-]*\.") for w in SPAM_WORDS),
+    *(PatternRule(rf"^https?://([a-z0-9-]+\.)*{re.escape(w)}\.") for w in SPAM_PAIRS),
+    *(PatternRule(rf"[?&]{re.escape(w)}(=|&|#|$)") for w in FEEDS),
+    *(PatternRule(rf"^https?://[^?#]*/{re.escape(w)}(\.php)?([/?#]|$)") for w in NO_TEXT),
+    *(PatternRule(rf"^https?://[^?#]+\.{w}([?#]|$)") for w in FILES),
+    PatternRule(r"^https?://m\.[^/?#]+/[a-z]{2}/[0-9]+\.html?$"),
 )
-TOKEN = r"[a-z0-9]+"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -82,26 +122,21 @@ def host_verdicts(rows: DataFrame, rules: Sequence[HostRule] = HOST_RULES) -> Da
 def pattern_hits(urls: DataFrame, rules: Sequence[PatternRule] = PATTERN_RULES) -> DataFrame:
     """(key) of the rows of `urls` (key, url) that some pattern rule matches.
 
-    Tokens that no rule names are left before they are counted, so that the count has as many rows as the rules have
-    tokens, and the index one row for each rule. A rule without tokens has nothing to be indexed by: it runs on all rows.
+    Tokens and pieces that no rule names are left before they are counted, so that the count has as many rows as the
+    rules have keys, and the index one row for each rule.
     """
     spark = urls.sparkSession
+    if not rules:
+        return urls.select("key").limit(0)
     lower = urls.select("key", ascii_lower(F.col("url")).alias("url"))
-    free = [r.pattern for r in rules if not r.tokens]
-    named = sorted({t for r in rules for t in r.tokens})
-    hits = []
-    if named:
-        tokens = lower.select("key", "url", F.explode(F.array_distinct(F.array_intersect(F.regexp_extract_all("url", F.lit(TOKEN), F.lit(0)), F.array(*map(F.lit, named))))).alias("token"))
-        seen = dict(tokens.groupBy("token").count().collect())
-        index = [(min(r.tokens, key=lambda t: (seen.get(t, 0), t)), r.pattern) for r in rules if r.tokens]
-        rules_df = spark.createDataFrame(index, "token string, pattern string")
-        hits.append(tokens.join(F.broadcast(rules_df), "token").where(F.rlike(F.col("url"), F.col("pattern"))).select("key"))
-    if free:
-        hits.append(lower.where(F.greatest(*[F.col("url").rlike(p).cast("int") for p in free] * (2 if len(free) == 1 else 1)) == 1).select("key"))
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.union(h)
-    return out.distinct()
+    named = F.array(*map(F.lit, sorted(set().union(*(r.keys for r in rules)))))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("url") - GRAM + 1, F.lit(1))), lambda i: F.concat(F.lit("~"), F.substring(F.col("url"), i, F.lit(GRAM))))
+    held = F.array_intersect(F.concat(F.regexp_extract_all("url", F.lit(TOKEN), F.lit(0)), pieces), named)
+    tokens = materialize(lower.select("key", "url", F.explode(held).alias("token")), "tokens")
+    seen = dict(tokens.groupBy("token").count().collect())
+    index = spark.createDataFrame([(min(r.keys, key=lambda t: (seen.get(t, 0), t)), r.pattern) for r in rules], "token string, pattern string")
+    index = F.broadcast(index) if len(rules) <= SMALL else index
+    return tokens.join(index, "token").where(F.rlike(F.col("url"), F.col("pattern"))).select("key").distinct()
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules: Sequence[HostRule] = HOST_RULES, pattern_rules: Sequence[PatternRule] = PATTERN_RULES) -> DataFrame:
@@ -112,11 +147,13 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumn("host", host).withColumn("path", path)
     judged = host_verdicts(rows, host_rules)
-    rest = judged.where("rule is null and url is not null and host <> ''").select(F.col("url").alias("key"), "url").distinct()
-    bad = pattern_hits(rest, pattern_rules).select(F.col("key").alias("bad"))
-    out = judged.join(bad, judged["url"] == bad["bad"], "left")
-    verdict = F.coalesce("rule_verdict", F.when(F.col("bad").isNotNull() & F.col("rule").isNull(), "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
+    undecided = F.col("rule").isNull() & (F.col("host") != "")
+    distinct = judged.where(undecided).groupBy("url").agg(F.count("*").alias("n"))
+    bad = pattern_hits(distinct.select(F.col("url").alias("key"), "url"), pattern_rules).select(F.col("key").alias("bad"))
+    verdicts = distinct.join(bad, distinct["url"] == bad["bad"], "left").select("url", "n", F.when(F.col("bad").isNotNull(), "block").otherwise("allow").alias("verdict"))
+    decided = judged.where(~undecided).select("id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
+    rest = join_hot(judged.where(undecided).select("id", "url", "host", "path", "rule"), materialize(verdicts, "verdicts"), "url").select("id", "host", "path", "rule", "verdict")
+    return decided.unionByName(rest).withColumnRenamed("id", id_col)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
