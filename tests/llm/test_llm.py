@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from functools import reduce
@@ -245,6 +246,32 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert sum(got[i] for i in range(200)) >= 180 and sum(got[i] for i in range(200, 200 + len(names))) <= 2
 
 
+def test_random_tokens_next_to_names(spark):
+    """Tokens after = and in paths are runs of their own; what a base span covers is not."""
+    r = random.Random(12)
+    letters = secrets.UPPER + secrets.LOWER + secrets.DIGITS
+    drawn = ["".join(r.choice(letters) for _ in range(44)) + "1aA" for _ in range(300)]
+    forms = ("aws_key={}", "sig={}==", "/api-v1/{}", "x-{}+y", "password={}")
+    df = spark.createDataFrame([(i, forms[i % 5].format(t)) for i, t in enumerate(drawn)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in secrets.secret_spans(df).collect()}
+    for k in range(5):
+        found = sum(got[i]["n_random"] > 0 for i in range(k, 300, 5))
+        assert found >= 54 if k < 4 else found == 0, forms[k]
+    assert all(got[i]["n_assign"] == 1 for i in range(4, 300, 5)) and all(x["max_q"] is None or 0 <= x["max_q"] <= secrets.FALSE_DISCOVERY for x in got.values())
+
+
+def test_scan_of_many_matches_is_linear(spark):
+    """A text of over 1 MB with 20,000 matches of each sort."""
+    r = random.Random(13)
+    token = lambda n: "".join(r.choice(secrets.LOWER + secrets.DIGITS) for _ in range(n))
+    text = " ".join(f"token={token(9)} AKIA{token(14).upper()} {token(25)}Z9" for _ in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").repartition(2)
+    began = time.time()
+    got = {x["doc_id"]: x for x in secrets.secret_spans(df).collect()}
+    assert time.time() - began < 30 and len(text) > 1_200_000
+    assert got[1]["n_assign"] == 20_000 and got[1]["base_sha256"] == hashlib.sha256(base_of(text).encode()).hexdigest()
+
+
 # ---- 3 language model ---------------------------------------------------------------------------------------------
 
 
@@ -277,26 +304,29 @@ def plain_ctw(train, text, depth):
     total = 0.0
     for ctx, s in symbols(text):
         for bit in range(8):
-            node, rest, p, last = (1 << bit) + (s >> (8 - bit)), 1.0, 0.0, 0.5
+            node, rest, p = (1 << bit) + (s >> (8 - bit)), 1.0, 0.0
             for d in range(depth + 1):
                 key = (ctx[depth - d :], node)
                 if key not in own[d]:
                     break
-                last = (counts[d][*key, 1] + 0.5) / (counts[d][*key, 0] + counts[d][*key, 1] + 1)
-                p += rest * own[d][key] * last
+                p += rest * own[d][key] * (counts[d][*key, 1] + 0.5) / (counts[d][*key, 0] + counts[d][*key, 1] + 1)
                 rest *= 1 - own[d][key]
-            p += rest * last
+            p += rest * 0.5  # an unseen context's estimate
             total += log10(p if s >> (7 - bit) & 1 else 1 - p)
     return total
 
 
-def test_context_tree_weighting(spark):
-    train = ["the cat sat on the mat", "The dog sat", "", "été à la plage", "aaaaaaaa"]
-    held = ["the cat", "unseen ZEBRA", "", "été"]
+@pytest.mark.parametrize("depth,kept", [(3, 1 << 20), (5, 1 << 20), (5, 0), (5, 40)])
+def test_context_tree_weighting(spark, depth, kept):
+    """Against the definition, with all sequences' values in the tasks, none, or a few."""
+    train = ["the cat sat on the mat", "The dog sat", "", "été à la plage", "aaaaaaaa", "the cat sat on the mat"]
+    held = ["the cat", "unseen ZEBRA", "", "été", "the mat sat on a cat " * 30]
     df = spark.createDataFrame(list(enumerate(train + held)) + [(99, None)], "doc_id long, text string")
-    got = {x["doc_id"]: x for x in ctw.lm_scores(df, F.col("doc_id") >= len(train), depth=3).collect()}
+    got = {x["doc_id"]: x for x in ctw.lm_scores(df, F.col("doc_id") >= len(train), depth, kept).collect()}
     for i, t in enumerate(train + held):
-        assert abs(got[i]["score"] - plain_ctw(train, t, 3)) < 1e-4 * max(1, abs(got[i]["score"]))
+        want = plain_ctw(train, t, depth)
+        assert abs(got[i]["score"] - want) < 1e-7 * max(1, abs(want))
+        assert abs(got[i]["bits_per_byte"] + want / np.log10(2) / (len(t.encode()) + 1)) < 1e-6
     words = Counter(w for t in train for w in [*t.lower().encode().split(), b""])
     n, v = sum(words.values()), len(words)
     for i, t in enumerate(train + held):
@@ -306,6 +336,20 @@ def test_context_tree_weighting(spark):
     assert got[99]["n_tokens"] == 1
 
 
+def test_lm_query_against_the_definition(spark, tmp_path):
+    """The registered query on rows of its own, a long text among them."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdé ") for _ in range(r.randrange(1, 6))) for _ in range(30)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 12)))) for i in range(40)] + [(40, "long words, " * 3000), (41, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in ctw.op3_lm_scoring(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    train = [t or "" for i, t in rows if not held[i]]
+    for i, t in rows[30:40] + rows[41:]:
+        assert got[i]["held_out"] is held[i] and abs(got[i]["score"] - plain_ctw(train, t or "", ctw.DEPTH)) < 1e-7 * abs(got[i]["score"])
+    assert got[40]["n_tokens"] == 6001 and got[40]["score"] < 0
+
+
 def test_words_beyond_those_that_tasks_hold(spark, docs):
     held = ctw.fold("doc_id", 7) == 2
     a = {x["doc_id"]: x for x in ctw.lm_scores(docs, held, depth=2).collect()}

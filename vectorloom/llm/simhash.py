@@ -47,10 +47,12 @@ PAIR, WIDE, WIDE_BITS = 2, 12, 24
 FAR, CLOSE = 48, 28
 #: Members of a signature that one task compares with all others.
 SHARE = 4096
+U = np.uint64
+STEP = U(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(text: bytes, shingle: int, seed: int = SEED, wide: bool = False) -> Iterator[np.ndarray]:
-    """XXH64 of a text's shingles, repeats included, in blocks; `wide`: three 128-bit hashes of each instead, as rows of bytes."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, repeats included, in blocks."""
     words = text.lower().split()
     if not words:
         return
@@ -58,13 +60,9 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = SEED, wide: bool = Fal
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
-    one, many = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        block = [joined[s:e] for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]
-        if wide:
-            yield np.frombuffer(b"".join(many(x, seed + i) for x in block for i in range(3)), np.uint8).reshape(-1, 48)
-        else:
-            yield np.array([one(x, seed) for x in block], np.uint64)
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -148,22 +146,44 @@ def near_dedup(docs: DataFrame, near: int = NEAR, crowd: int = CROWD) -> DataFra
 # ---- links of similar texts -----------------------------------------------------------------------------------------
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """The sorted set of the XXH64 of a UTF-8 text's five-word shingles; texts with fewer words are one shingle, those without none."""
-    parts = [np.unique(h) for h in shingle_hashes(text, WORDS)]
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+class Words(dict):
+    """word -> 64-bit hash; bounded."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, SEED)
+        return out
 
-def wide_fingerprint(text: bytes, words: int = PAIR, bits: int = WIDE * WIDE_BITS) -> np.ndarray:
-    """The bits of a text's SimHash over its distinct shingles."""
-    parts = [h.view("V48").ravel() for h in shingle_hashes(text, words, wide=True)]
-    if not parts:
-        return np.zeros(bits, np.uint8)
-    distinct = np.unique(np.concatenate(parts)).view(np.uint8).reshape(-1, 48)[:, : bits // 8]
-    ones = np.zeros(bits, np.int64)
-    for at in range(0, len(distinct), BLOCK):
-        ones += np.unpackbits(distinct[at : at + BLOCK], axis=1).sum(0, dtype=np.int64)
-    return (2 * ones > len(distinct)).astype(np.uint8)
+    def of(self, text: bytes) -> np.ndarray:
+        """The hashes of a text's words, letters in lower case."""
+        words = text.lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
+
+
+def shingle_set(words: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """The sorted set of 64-bit hashes of a text's n-word shingles, from its words'; fewer words are one shingle, no words none."""
+    n = min(n, len(words))
+    h = np.full(max(0, len(words) - n + 1) if n else 0, n, np.uint64)
+    for i in range(n):
+        h = h * STEP + words[i : i + len(h)]
+    return np.unique(_mix(h))
+
+
+def wide_fingerprint(words: np.ndarray, bits: int = WIDE * WIDE_BITS) -> np.ndarray:
+    """The bits of a text's SimHash over its distinct PAIR-word shingles."""
+    h = shingle_set(words, PAIR)
+    ones, salts = np.zeros(bits, np.int64), np.arange(-(-bits // 64), dtype=np.uint64) * STEP
+    for at in range(0, len(h), BLOCK):
+        rows = _mix(h[at : at + BLOCK, None] + salts).view(np.uint8)[:, : bits // 8]
+        ones += np.unpackbits(rows, axis=1).sum(0, dtype=np.uint16)  # a block has fewer rows than 2 ** 16
+    return (2 * ones > len(h)).astype(np.uint8)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -171,13 +191,15 @@ def _sketches(docs: DataFrame) -> DataFrame:
     place = np.int64(1) << np.arange(WIDE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for b in some(batches):
             digest, size, segments = [], [], []
             for t in utf8(b["text"]):
-                h = shingle_set(t)
+                words = known.of(t)
+                h = shingle_set(words)
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                 size.append(len(h))
-                segments.append(wide_fingerprint(t).reshape(WIDE, WIDE_BITS) @ place)
+                segments.append(wide_fingerprint(words).reshape(WIDE, WIDE_BITS) @ place)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(digest), pa.array(size, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], ["doc_id", "digest", "size", "segments"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, size long, segments array<long>")
@@ -187,8 +209,9 @@ def _sets(docs: DataFrame) -> DataFrame:
     """(node, hashes): the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for b in some(batches):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingle_set(t).tobytes() for t in utf8(b["text"])], pa.binary())], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingle_set(known.of(t)).tobytes() for t in utf8(b["text"])], pa.binary())], ["node", "hashes"])
 
     return docs.mapInArrow(run, f"node {docs.schema['doc_id'].dataType.simpleString()}, hashes binary")
 
@@ -210,11 +233,23 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}")
 
 
+def _differ(i: int) -> Column:
+    return F.col("a.segments")[i].bitwiseXOR(F.col("b.segments")[i])
+
+
 def _alike(far: int) -> Column:
     """Whether a row's texts a and b, by size and segments, can be similar and differ in at most `far` bits."""
     fits = F.least("a.size", "b.size") * Q >= F.greatest("a.size", "b.size") * P
-    bits = sum((F.bit_count(F.col("a.segments")[i].bitwiseXOR(F.col("b.segments")[i])) for i in range(WIDE)), F.lit(0))
-    return fits & (bits <= far)
+    return fits & (sum((F.bit_count(_differ(i)) for i in range(WIDE)), F.lit(0)) <= far)
+
+
+def _first(key: str) -> Column:
+    """Whether a signature is the first that a and b share, so that a pair is made once: no segment before differs in at most one bit, and of this one's variants it is that of the bit that differs, or of bit 0 if none does."""
+    part, bit = F.floor(F.shiftrightunsigned(key, WIDE_BITS) / WIDE_BITS).cast("int"), (F.shiftrightunsigned(key, WIDE_BITS) % WIDE_BITS).cast("int")
+    differ = F.zip_with("a.segments", "b.segments", lambda x, y: x.bitwiseXOR(y))
+    mine = F.get(differ, part)
+    chosen = F.when(mine == 0, bit == 0).otherwise(mine == F.pow(F.lit(2.0), bit).cast("long"))
+    return chosen & F.forall(F.slice(differ, F.lit(1), part), lambda x: F.bit_count(x) > 1)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -251,8 +286,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     left = rest.select(F.col("key").alias("k"), F.pmod(F.hash("node"), share).alias("s"), side("a"))
     right = rest.select(F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), share - 1)).alias("s2"), side("b"))
     apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    more = left.join(right, (F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2")) & apart & _alike(CLOSE))
-    more = more.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
+    more = left.join(right, (F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2")) & apart & _alike(CLOSE) & _first("k"))
+    more = more.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).join(first, ["src", "dst"], "left_anti")
     links = materialize(_similar(materialize(more, "pairs"), sets), "links")
     # those links join components that are known: their graph is small
     of = lambda end, root: roots.select(F.col("node").alias(end), F.col("root").alias(root))
