@@ -38,23 +38,25 @@ KNOWN, WORD = 1 << 17, 64
 MARK = 255
 #: The registered query learns from documents whose crc32 of the id leaves another remainder by FOLDS than HELD.
 FOLDS, HELD = 7, 2
-#: Bytes that are scored at once, and sequences that a task gathers before it passes them on.
-BLOCK, GATHER = 1 << 19, 1 << 20
+#: Bytes of texts that are read at once and looked up at once, and sequences that a task gathers before it passes them on.
+BLOCK, PART, GATHER = 1 << 19, 1 << 16, 1 << 23
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
+#: No sequence: contexts of at most 6 bytes leave its first byte zero.
+NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
 def sequences(docs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Each byte of the texts and their end marks, with the `depth` bytes before it, as one number; and where each text starts."""
     pad = bytes([MARK]) * depth
-    joined = np.frombuffer(b"".join(pad + d + bytes([MARK]) for d in docs), np.uint8)
+    joined = np.frombuffer(b"".join(pad + d + bytes([MARK]) for d in docs), np.uint8).astype(np.uint64)
     size = np.array([len(d) + 1 for d in docs])
     start = np.cumsum(size) - size
-    at = np.arange(size.sum()) + np.repeat((np.arange(len(docs)) + 1) * depth, size)
-    keys = np.zeros(len(at), np.uint64)
-    for back in range(depth, -1, -1):
-        keys = (keys << U(8)) | joined[at - back]
-    return keys, start
+    keys = joined[depth:].copy()
+    for back in range(1, depth + 1):
+        keys |= joined[depth - back : len(joined) - back] << U(8 * back)
+    # between two texts are `depth` places of padding
+    return keys[np.arange(size.sum()) + np.repeat(np.arange(len(docs)) * depth, size)], start
 
 
 def blocks(docs: list[bytes]) -> Iterator[list[int]]:
@@ -75,36 +77,26 @@ def corpus_counts(docs: DataFrame, use: Column, depth: int = DEPTH) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        held, fresh, size = empty, [], 0
+        held: dict[bool, list] = {True: [], False: []}
         names = ["seq", "word", "n", "every"]
 
         def of_words():
             n = pa.array(list(words.values()), pa.int64())
             return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), n, n], names)
 
-        def of_sequences():
-            keys, n, every = held
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n), pa.array(every)], names)
-
-        def merge():
-            nonlocal held, fresh, size
-            parts = [held] + [(k, c * used, c) for used, (k, c) in ((used, np.unique(x, return_counts=True)) for used, x in fresh)]
-            keys, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            n, every = (np.bincount(place, np.concatenate([x[i] for x in parts]), len(keys)).astype(np.int64) for i in (1, 2))
-            held, fresh, size = (keys, n, every), [], 0
+        def of_sequences(used: bool):
+            keys, n = np.unique(np.concatenate(held[used]), return_counts=True)
+            held[used] = []
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n * used), pa.array(n)], names)
 
         for b in some(batches):
             docs, use = [t.lower() for t in utf8(b["text"])], b["use"].to_pylist()
             for used in (True, False):
                 mine = [d for d, u in zip(docs, use, strict=True) if bool(u) is used]
                 for some_docs in blocks(mine):
-                    k = sequences([mine[i] for i in some_docs], depth)[0]
-                    for at in range(0, len(k), BLOCK):
-                        fresh.append((used, k[at : at + BLOCK]))
-                    size += len(k)
-                    if size > GATHER:
-                        merge()
+                    held[used].append(sequences([mine[i] for i in some_docs], depth)[0])
+                    if sum(map(len, held[used])) > GATHER:
+                        yield of_sequences(used)
                 for d in mine if used else ():
                     words.update(d.split())
                 if used and mine:
@@ -112,15 +104,11 @@ def corpus_counts(docs: DataFrame, use: Column, depth: int = DEPTH) -> DataFrame
             if len(words) > 150_000:
                 yield of_words()
                 words = Counter()
-            if len(held[0]) > GATHER:
-                yield of_sequences()
-                held = empty
-        if fresh:
-            merge()
         if words:
             yield of_words()
-        if len(held[0]):
-            yield of_sequences()
+        for used in (True, False):
+            if held[used]:
+                yield of_sequences(used)
 
     rows = docs.select("text", use.alias("use")).mapInArrow(run, "seq long, word binary, n long, every long")
     return rows.groupBy("seq", "word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
@@ -213,15 +201,14 @@ def values(mixed: DataFrame) -> DataFrame:
 
 
 def kept_values(of: DataFrame, most: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
-    """(sequences in order, values) of the most frequent sequences, by whole steps of frequency, so that there are at most `most` of them."""
+    """(sequences, values), the most frequent last, of the most frequent sequences, by whole steps of frequency, so that there are at most `most` of them."""
     steps = of.withColumn("step", F.floor(F.log2(F.col("every").cast("double")) * 16))
     least = _last_step(steps, most)
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0)
-    t = steps.where(F.col("step") >= least).select("seq", "value").toArrow()
-    seq = t["seq"].to_numpy().view(np.uint64)
-    order = np.argsort(seq)
-    return seq[order], t["value"].to_numpy()[order]
+    t = steps.where(F.col("step") >= least).select("seq", "value", "step").toArrow()
+    order = np.argsort(t["step"].to_numpy(), kind="stable")
+    return t["seq"].to_numpy().view(np.uint64)[order], t["value"].to_numpy()[order]
 
 
 def _last_step(rows: DataFrame, most: int) -> int | None:
@@ -249,23 +236,27 @@ class Lookup:
     """Values of sequences, found by whole keys: a table of slots finds most, a binary search the others."""
 
     def __init__(self, seq: np.ndarray, value: np.ndarray):
-        self.seq, self.value = np.append(seq, U(0xFFFFFFFFFFFFFFFF)), np.append(value, 0.0)
+        order = np.argsort(seq)
+        self.seq, self.value = np.append(seq[order], NONE), np.append(value[order], 0.0)
         bits = max(4, len(self.seq).bit_length())
         self.shift = U(64 - bits)
-        self.slot = np.full(1 << bits, len(seq), np.int32)
-        self.slot[self.place(seq)] = np.arange(len(seq), dtype=np.int32)
+        self.key, self.worth = np.full(1 << bits, NONE), np.zeros(1 << bits)
+        at = self.place(seq)
+        self.key[at], self.worth[at] = seq, value  # of several in a slot, the last and so most frequent stays in both
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * MIX) >> self.shift).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, 0 where there is none; the numbers of the keys that aren't held)."""
-        at = self.slot[self.place(keys)]
-        miss = np.nonzero(self.seq[at] != keys)[0]
+        at = self.place(keys)
+        out, miss = self.worth[at], np.flatnonzero(self.key[at] != keys)
         if len(miss):
-            at[miss] = np.searchsorted(self.seq[:-1], keys[miss])
-        found = self.seq[at] == keys
-        return np.where(found, self.value[at], 0.0), np.nonzero(~found)[0]
+            at = np.searchsorted(self.seq[:-1], keys[miss])
+            found = self.seq[at] == keys[miss]
+            out[miss] = np.where(found, self.value[at], 0.0)
+            miss = miss[~found]
+        return out, miss
 
 
 def score(docs: DataFrame, kept: tuple[np.ndarray, np.ndarray], known: dict[bytes, int], depth: int) -> DataFrame:
@@ -275,15 +266,17 @@ def score(docs: DataFrame, kept: tuple[np.ndarray, np.ndarray], known: dict[byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (seq, value), words = model.value
-        look, of = Lookup(seq, value), {w: (n, math.log10(n + 1)) for w, n in words.items()}
+        look, of = Lookup(seq, value), {w: math.log10(n + 1) for w, n in words.items()}
         for b in some(batches, 500):
             docs = [x.lower() for x in utf8(b["text"])]
             scores, rest = np.zeros(len(docs)), [[] for _ in docs]
             for block in blocks(docs):
                 keys, start = sequences([docs[i] for i in block], depth)
                 p = np.empty(len(keys))
-                for at in range(0, len(keys), BLOCK):
-                    p[at : at + BLOCK], miss = look(keys[at : at + BLOCK])
+                for at in range(0, len(keys), PART):
+                    p[at : at + PART], miss = look(keys[at : at + PART])
+                    if not len(miss):
+                        continue
                     owner = np.searchsorted(start, miss + at, "right") - 1
                     for i in np.unique(owner).tolist():
                         rest[block[i]].append(keys[at + miss[owner == i]])
@@ -294,11 +287,12 @@ def score(docs: DataFrame, kept: tuple[np.ndarray, np.ndarray], known: dict[byte
                 total, seen, logs, rare = sum(c.values()) + 1, 0, 0.0, []
                 c[b""] += 1
                 for w, n in c.items():
-                    if w in of:
-                        seen += n
-                        logs += n * of[w][1]
-                    else:
+                    log = of.get(w)
+                    if log is None:
                         rare.append({"word": w, "n": n})
+                    else:
+                        seen += n
+                        logs += n * log
                 seq, times = np.unique(np.concatenate(miss), return_counts=True) if miss else ((), ())
                 out.append((total, seen, logs, rare, [{"seq": s, "n": n} for s, n in zip(np.asarray(seq, np.uint64).view(np.int64).tolist(), list(times), strict=True)], len(d)))
             columns = zip(*out, strict=True)
