@@ -10,7 +10,8 @@ go to the driver. Everything else reads all rows.
 
 Defined results: a null text is empty; a text without words has the score of the bias alone; without usable labels all
 scores are 0.5; labels that disagree on a document count as the least; a null doc_id is scored but not learnt from; each
-of repeated rows gets the same score; an empty table gives an empty result; `keep_good` keeps all columns.
+of repeated rows gets the same score; documents that tie at 0.5 count as good; very long texts are read whole; an empty
+table gives an empty result; `keep_good` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, some, table, utf8
+from .common import fold, materialize, some, table, utf8
 
 BITS = 18
 DIM = 1 << BITS
@@ -103,36 +104,34 @@ def training_sample(docs: DataFrame, labels: DataFrame, use: Column, sample: int
 def train(rows: DataFrame, passes: int = PASSES) -> np.ndarray:
     """Weights from (shard, order, text, label). Each pass averages the shards' states, which have a fixed size."""
     sc = rows.sparkSession.sparkContext
-    dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "order", F.xxhash64("text")).persist()
+    rows = materialize(rows, "sample")
+    dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "order", F.xxhash64("text"))
     z, n = np.zeros(DIM), np.zeros(DIM)
-    try:
-        for _ in range(passes):
-            start = sc.broadcast((z, n))
-
-            def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-                words, states = _Words(), {}
-
-                def out(shard: int, state: tuple) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in state)], ["shard", "z", "n"])
-
-                for b in batches:
-                    for shard, text, label in zip(b["shard"].to_pylist(), utf8(b["text"]), b["label"].to_pylist(), strict=True):
-                        if shard not in states:
-                            for done in list(states):
-                                yield out(done, states.pop(done))
-                            states[shard] = tuple(a.copy() for a in start.value)
-                        learn(*states[shard], *features(text, words), label)
-                for done, state in states.items():
-                    yield out(done, state)
-
-            states = dealt.mapInArrow(run, "shard long, z binary, n binary").collect()
-            start.unpersist()
-            if not states:
-                break
-            states.sort(key=lambda r: r["shard"])
-            z, n = (np.mean([np.frombuffer(r[k]) for r in states], axis=0) for k in ("z", "n"))
-    finally:
-        dealt.unpersist()
+    for _ in range(passes):
+        start = sc.broadcast((z, n))
+
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            words, states = _Words(), {}
+
+            def out(shard: int, state: tuple) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in state)], ["shard", "z", "n"])
+
+            for b in batches:
+                for shard, text, label in zip(b["shard"].to_pylist(), utf8(b["text"]), b["label"].to_pylist(), strict=True):
+                    if shard not in states:
+                        for done in list(states):
+                            yield out(done, states.pop(done))
+                        states[shard] = tuple(a.copy() for a in start.value)
+                    learn(*states[shard], *features(text, words), label)
+            for done, state in states.items():
+                yield out(done, state)
+
+        states = dealt.mapInArrow(run, "shard long, z binary, n binary").collect()
+        start.destroy()
+        if not states:
+            break
+        states.sort(key=lambda r: r["shard"])
+        z, n = (np.mean([np.frombuffer(r[k]) for r in states], axis=0) for k in ("z", "n"))
     return weights(z, n)
 
 
@@ -158,7 +157,8 @@ def _model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier takes for good, with all columns."""
-    return score(docs, _model(docs, labels)).where("__score >= 0.5").drop("__score")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return score(rows, _model(docs, labels)).where("__score >= 0.5").select("row.*")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
