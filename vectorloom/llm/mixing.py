@@ -7,8 +7,9 @@ are missing, the document on the border in part. All choices compare a row with
 hot source is never gathered or sorted: only the rows of one of its 65,536 hash buckets are.
 
 Defined results: a null text has no words; a null source is a source of its own, after all others; repeated rows share
-what is taken from them evenly; a source without words gives target 0; an empty table gives an empty result; columns
-beyond the four that are read are kept by `mix` and left out by the query.
+what is taken from them evenly; rows that tie in the seeded order are ordered by id, size and text; a source without
+words gives target 0; very long texts are counted whole; an empty table gives an empty result; columns beyond the four
+that are read, whatever their names, are kept by `mix` and left out by the query.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
         F.col("source").alias("src"),
         F.col("doc_id").alias("id"),
         word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h"),
         F.xxhash64("text").alias("t"),
     )
 
@@ -81,13 +82,15 @@ def source_plan(keyed: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
 
     same = lambda a, b: a["src"].eqNullSafe(b["src"])
     upto = lambda *order: Window.partitionBy("src").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # buckets count in the order of h as a signed number, so that the order of buckets is that of their rows
-    bucket = F.shiftright("h", 48).alias("bucket")
-    cum = keyed.groupBy("src", bucket).agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(upto("bucket")))
-    need = src.select("src", "need")
-    cut = cum.join(need, same(cum, need)).where("upto - n <= need and need < upto and need > 0").select(cum["src"], "bucket", (F.col("need") - F.col("upto") + F.col("n")).alias("left"))
-    cut = materialize(cut, "cut")
-    rows = keyed.join(cut, same(keyed, cut) & (F.shiftright(keyed["h"], 48) == cut["bucket"])).select(keyed["*"], "left")
+    # buckets count in the order of h as a signed number, so that the order of buckets is that of their rows; the border's
+    # bucket is found among 256, and then among 256 of that one
+    rows, left = keyed, src.where("need > 0").select("src", F.col("need").alias("left"))
+    for shift in (56, 48):
+        cum = rows.groupBy("src", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(upto("bucket")))
+        cut = cum.join(left, same(cum, left)).where("upto - n <= left and left < upto").select(cum["src"], "bucket", (F.col("left") - F.col("upto") + F.col("n")).alias("left"))
+        cut = materialize(cut, "cut")
+        rows = keyed.join(cut, same(keyed, cut) & (F.shiftright(keyed["h"], shift) == cut["bucket"])).select(keyed["*"], "left")
+        left, rows = cut.select("src", "left"), rows if shift == 48 else rows.drop("left")
     equal = rows.groupBy("src", *KEY, "left").agg(F.count("*").alias("ties")).withColumn("upto", F.sum(F.col("size") * F.col("ties")).over(upto(*KEY)))
     border = equal.where("upto - size * ties <= left and left < upto").select("src", *[F.col(k).alias(f"b_{k}") for k in KEY], F.floor((F.col("left") - F.col("upto") + F.col("size") * F.col("ties")) / F.col("ties")).alias("part"))
     return materialize(src.join(border, same(src, border), "left").select(src["src"].alias("p_src"), "source_size", "target", "whole", *[f"b_{k}" for k in KEY], "part"), "plan")
@@ -123,11 +126,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """The mix itself, with the columns of `docs`: whole rows as often as they are taken, and the first words of each source's border document."""
     plan = source_plan(materialize(_keyed(docs, seed), "sizes"), weights, share, epochs)
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[x.alias(n) for x, n in ((F.col("source"), "src"), (F.col("doc_id"), "id"), (word_count(F.col("text")), "size"), (F.xxhash64(F.lit(seed), F.col("doc_id")), "h"), (F.xxhash64("text"), "t"))])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[x.alias(n) for x, n in ((F.col("source"), "src"), (F.col("doc_id"), "id"), (word_count(F.col("text")), "size"), (F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), "h"), (F.xxhash64("text"), "t"))])
     copies, part = _copies()
     met = row.join(plan, row["src"].eqNullSafe(plan["p_src"])).select("row", copies.cast("int").alias("copies"), part.alias("taken"))
     full = met.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
-    some = met.where("taken > 0").select("row.*", F.col("taken").alias("__taken")).withColumn("text", _first_words("text", "__taken")).select(*[f"`{c}`" for c in names])
+    some = met.where("taken > 0").select(F.col("row").withField("text", _first_words("row.text", "taken")).alias("row")).select("row.*")
     return full.unionByName(some)
 
 
