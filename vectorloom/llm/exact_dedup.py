@@ -7,8 +7,8 @@ by digest and whole normalised text, so texts that merely share a digest stay ap
 read them, before any shuffle, however large their group.
 
 Defined results: a null text is empty; a null doc_id is never the least of a group that has another; rows that repeat
-the least doc_id of their group all stay; an empty table, snapshot or batch gives the result of the other alone; other
-columns are left out of `duplicates` and kept by `exact_dedup`.
+the least doc_id of their group all stay; very long texts are compared whole; an empty table, snapshot or batch gives the
+result of the other alone; other columns, whatever their names, are left out of `duplicates` and kept by `exact_dedup`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import BLANK, fold, materialize, partitions, table, texts
+from .common import BLANK, fold, join_hot, keep_ids, materialize, partitions, table, texts
 
 #: Digests a bucket, about: what bounds a filter and the rows from which one is built.
 BUCKET = 1 << 16
@@ -45,7 +45,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def _key(digests: pa.Array) -> np.ndarray:
     """The digests' first eight bytes; shorter digests are padded."""
-    return np.array([int.from_bytes(d[:8].ljust(8, b"\0"), "little") for d in digests.to_pylist()], np.uint64)
+    return np.frombuffer(b"".join(d[:8].ljust(8, b"\0") for d in digests.to_pylist()), "<u8").astype(np.uint64)
 
 
 def _bucket(buckets: int) -> Column:
@@ -129,13 +129,15 @@ def duplicates(snapshot: DataFrame, incoming: DataFrame, digest=sha256) -> DataF
     checked = materialize(checked.select("digest", "keep_id", "group_size", proof), "groups")
     shared = checked.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     single = checked.join(shared, "digest", "left_anti")
-    group = rows.join(single.select("digest", "keep_id", "group_size"), "digest", "left")
+    # rows without copies need no join; those of a digest with very many are not dealt to one task
+    lone = rows.join(small, "digest", "left_anti").select("digest", "doc_id", "old", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    group = lone.unionByName(join_hot(rows.join(small, "digest", "left_semi"), single.select("digest", "keep_id", "group_size"), "digest", "group_size"))
     if shared.isEmpty():
         out = group
     else:  # texts that share a digest: their rows take the group of their own text
         apart = norm.withColumn("digest", digest(F.col("norm"))).join(F.broadcast(shared.select("digest")) if shared.count() <= SMALL else shared.select("digest"), "digest", "left_semi")
         apart = apart.select("digest", "doc_id", "old", proof).join(checked, ["digest", "proof"]).select("digest", "doc_id", "old", "keep_id", "group_size")
-        out = group.join(shared.select("digest"), "digest", "left_anti").unionByName(apart)
+        out = group.unionByName(apart)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest")
 
@@ -147,11 +149,7 @@ def _halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all columns: of equal texts the least doc_id."""
-    lost = materialize(duplicates(*_halves(docs)).where("not kept").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
-    lost = lost.where("__lost is not null")
-    n = lost.count()
-    gone = F.broadcast(lost) if n <= SMALL else lost.hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"] == gone["__lost"], "left_anti")
+    return keep_ids(docs, duplicates(*_halves(docs)).where("not kept").select("doc_id"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
