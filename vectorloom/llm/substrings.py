@@ -19,7 +19,9 @@ In a run, suffixes with equal surroundings are one: what a large group of copies
 costs one row. Buckets are merged in blocks that share too little with their neighbours to match them.
 
 Defined results: a null text is empty; texts shorter than SPAN lose nothing; each of repeated rows counts as a
-document, so long ones lose all bytes; an empty table gives an empty result; other columns are left out.
+document, so long ones lose all bytes, and so do texts that tie; very long texts are read whole, and what a row holds of
+one, its anchors and spans, grows as the text; an empty table gives an empty result; other columns, whatever their names,
+are left out. The query's `text` is what is left, with a replacement character where a cut went through a character.
 """
 
 from __future__ import annotations
@@ -285,4 +287,5 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, window: int = WINDOW, comm
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), text)
