@@ -14,7 +14,8 @@ growing window around each join until it agrees with both sides exactly:
 Special tokens are found first, as the library does, and what lies between them is encoded apart.
 
 Defined results: a null text is empty, and an empty text has no tokens; each of repeated rows gets the same result; an
-empty table gives an empty result; other columns are kept by `encode`.
+empty table gives an empty result; other columns, whatever their names, are kept by `encode`. Texts of at most LONG
+characters are encoded in one piece, longer ones, however long, by leaves of at most LEAF characters.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, partitions, some, table, utf8
+from .common import join_hot, materialize, partitions, some, table
 
 #: Characters of a leaf, and of the longest text that is encoded in one piece.
 LEAF, LONG = 1 << 14, 1 << 15
@@ -174,11 +178,14 @@ def _codec(spec: str) -> Codec:
 
 
 def _digests(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
-    return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+    words = array("I", ids)  # four bytes each, on the platforms that Spark runs on
+    if sys.byteorder == "big":
+        words.byteswap()
+    return len(ids), hashlib.sha256(words).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
 
 def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
-    """Add n_tokens, ids_sha256, decoded_sha256 and, if wanted, the ids to the rows of `docs`.
+    """Add n_tokens, ids_sha256, decoded_sha256 and, if wanted, the ids to the rows of `docs`, in place of columns of these names.
 
     Short texts are encoded where they are read. The distinct long ones are cut into leaves, which are dealt out,
     encoded, and concatenated by text; their rows then join the result by the text's digest.
@@ -193,6 +200,10 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
         columns = list(zip(*(_digests(codec, x) for x in encoded), strict=True)) or [[], [], []]
         return [pa.array(c, k) for c, k in zip([*columns, *([encoded] if ids else [])], kinds.values(), strict=True)]
 
+    names = [c for c in docs.columns if c not in kinds]
+    others = [F.col(f"`{c}`") for c in names if c != "text"] or [F.lit(None).cast("int").alias("none")]
+    packed = docs.select(F.struct(*others).alias("row"), "text")
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
         for b in some(batches):
@@ -248,16 +259,16 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
             yield close()
 
     size = F.length(F.coalesce("text", F.lit("")))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [ddl])
-    near = docs.where(size <= LONG).mapInArrow(short, schema)
-    key = F.sha2("text", 256).alias("__key")
+    near = packed.where(size <= LONG).mapInArrow(short, T.StructType([*packed.schema.fields, *T._parse_datatype_string(ddl).fields]))
+    key = F.sha2("text", 256).alias("key")
     n = partitions(spark)
-    segments = docs.where(size > LONG).select(key.alias("key"), "text").dropDuplicates(["key"]).mapInArrow(cut, "key string, piece long, leaf long, text string, special long")
+    segments = packed.where(size > LONG).select(key, "text").dropDuplicates(["key"]).mapInArrow(cut, "key string, piece long, leaf long, text string, special long")
     runs = segments.repartition(n, "key", "piece", "leaf").mapInArrow(encoded, "key string, piece long, leaf long, text string, special long, run binary, first binary")
     whole = runs.repartition(n, "key").sortWithinPartitions("key", "piece", "leaf").mapInArrow(joined, f"key string, {ddl}")
-    whole = materialize(whole.withColumnRenamed("key", "__key"), "long-texts")
-    far = docs.where(size > LONG).withColumn("__key", key).join(whole, "__key").drop("__key")
-    return near.unionByName(far)
+    times = packed.where(size > LONG).groupBy(key).agg(F.count("*").alias("n"))
+    whole = materialize(whole.join(times, "key"), "long-texts")
+    far = join_hot(packed.where(size > LONG).withColumn("key", key), whole, "key").drop("key", "n")
+    return near.unionByName(far).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names], *kinds)
 
 
 def default_path() -> str:
