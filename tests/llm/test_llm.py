@@ -27,7 +27,7 @@ def odd(spark):
     rows += [rows[4], (None, "no id", None, None, None, 1)]
     names = "doc_id long, text string, lang string, source string, n_chars long, score int"
     df = spark.createDataFrame(rows, names)
-    return reduce(lambda d, c: d.withColumn(c, F.lit(1)), ("kept", "digest", "row", "fp", "size", "spans", "h", "least", "norm", "old", "rank", "part"), df)
+    return reduce(lambda d, c: d.withColumn(c, F.lit(1)), ("kept", "digest", "row", "fp", "size", "spans", "h", "least", "norm", "old", "rank", "part", "__score", "__taken", "__kept", "__lost", "__key", "key", "n", "n_tokens", "n_bytes", "media", "found", "rid", "taken"), df)
 
 
 @pytest.fixture(scope="module")
@@ -377,6 +377,63 @@ def test_quality_on_held_out_labels(spark):
     assert all(abs(again[i] - got[i]["score"]) < 1e-9 for i in got)
 
 
+def plain_features(text):
+    """Indices to values, by counting hashed words, pairs, their shapes and repeats one at a time."""
+    words = [quality._Words().__missing__(w) for w in text.encode().split()]
+    mix = lambda k: int(k * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - quality.BITS)) or 1
+    out = {0: 1.0}
+    kinds = [[a for a, _ in words], [b for _, b in words]]
+    if len(words) > 1:
+        two = [[(u[i] * 0x9E3779B97F4A7C15 + v[i]) % (1 << 64) for u, v in zip(words, words[1:])] for i in (0, 1)]
+        kinds += [[k ^ 3 for k in two[0]], [k ^ 5 for k in two[1]], [((u[0] == v[0]) + 77) * 0xC2B2AE3D27D4EB4F % (1 << 64) for u, v in zip(words, words[1:])]]
+    for kind in kinds:
+        for k in kind:
+            out[mix(k)] = out.get(mix(k), 0.0) + 1 / len(kind)
+    return out
+
+
+def plain_ftrl(rows, z, n):
+    """FTRL-proximal updates in dictionaries: (text, label) in order."""
+    a, b, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else ((1 if z[i] > 0 else -1) * l1 - z[i]) / ((b + n.get(i, 0.0) ** 0.5) / a + l2)
+    for text, label in rows:
+        x = plain_features(text)
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + np.exp(-max(-30, min(30, sum(w[i] * v for i, v in x.items())))))
+        for i, v in x.items():
+            g = (p - label) * v
+            sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / a
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return weight
+
+
+def test_ftrl_against_plain_updates(spark):
+    """One shard and one pass are the plain updates; shards and passes are averages of plain runs."""
+    r = random.Random(5)
+    good, junk = "the cat sat on a warm mat today".split(), "BUY now!! cheap $$$ click click".split()
+    rows = [(i % 2, i, " ".join(r.choice(good if i % 3 else junk) for _ in range(r.randrange(1, 15))), int(i % 3 > 0)) for i in range(40)]
+    for shards, passes in ((1, 1), (2, 3)):
+        mine = [(s % shards, o, t, y) for s, o, t, y in rows]
+        got = quality.train(spark.createDataFrame(mine, "shard long, order long, text string, label int"), passes)
+        z, n = {}, {}
+        for _ in range(passes):
+            states = []
+            for shard in range(shards):
+                zi, ni = dict(z), dict(n)
+                weight = plain_ftrl([(t, y) for s, _, t, y in mine if s == shard], zi, ni)
+                states.append((zi, ni))
+            z, n = ({i: sum(st[k].get(i, 0.0) for st in states) / shards for i in set().union(*(st[k] for st in states))} for k in (0, 1))
+        weight = plain_ftrl([], z, n)
+        want = np.zeros(quality.DIM)
+        for i in z:
+            want[i] = weight(i)
+        assert np.allclose(got, want, atol=1e-9) and (want != 0).sum() > 20
+        scored = {x["doc_id"]: x["__score"] for x in quality.score(spark.createDataFrame([(o, t) for _, o, t, _ in rows], "doc_id long, text string"), got).collect()}
+        for _, o, t, _ in rows:
+            assert abs(scored[o] - 1 / (1 + np.exp(-sum(want[i] * v for i, v in plain_features(t).items())))) < 1e-5
+
+
 def test_quality_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     kept = quality.keep_good(odd, labels)
@@ -468,6 +525,8 @@ def test_tree_concatenation_is_exact(codec, docs, monkeypatch):
 
 def test_bpe_query(spark, odd, codec, monkeypatch):
     long = spark.createDataFrame([(500, "wörd " * 20_000), (501, "wörd " * 20_000), (502, "a" * 40_000 + "<|endoftext|>" + "b c" * 3)], "doc_id long, text string")
+    plain = bpe.encode(odd, bpe.default_path(), ids=False)
+    assert plain.count() == odd.count() and plain.columns == [c for c in odd.columns if c != "n_tokens"] + ["n_tokens", "ids_sha256", "decoded_sha256"]
     df = odd.select("doc_id", "text").unionByName(long)
     want = texts_of(df)
     got = bpe.encode(df, bpe.default_path()).collect()
@@ -592,6 +651,28 @@ def test_area_resize(monkeypatch):
             assert np.allclose(media.area_resize(x, rows, columns), want)
 
 
+def test_corrupt_pictures_are_refused(spark):
+    bad = [b"P5\n99999999999999999999 1\n255\n", b"P2\n1 1\n255\n99999999999999999999999\n", b"P2\n1 1\n9\n10\n", b"P5\n4000 4000\n255\nx", b"P4\n999999999 999999999\n", b"P1\n3 3\n1 0", b"P3", b"P7\n1 1\n", b"P2\n1 1\n255\nx", b"BM" + bytes(60), b"BM", b"", media.encode_bmp(np.eye(3, dtype=np.uint8))[:-5], media.encode_pgm(np.eye(3, dtype=np.uint8))[:-1]]
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)] + [(99, bytearray(media.encode_ppm(np.zeros((1, 300_000, 3), np.uint8))))], "doc_id long, media binary")
+    got = {x["doc_id"]: x for x in media.media_features(rows).collect()}
+    assert all(got[i]["tile"] is None for i in range(len(bad))) and got[99]["width"] == 300_000
+
+
+def plain_feature(x, side):
+    """Area means by repeating each sample, then the tile's NPY bytes and the difference hash."""
+    import io
+
+    def resized(rows, columns):
+        h, w = x.shape
+        big = np.repeat(np.repeat(x.astype(float), rows, 0), columns, 1)
+        return big.reshape(rows, h, columns, w).mean((1, 3))
+
+    small = np.round(resized(8, 9), 6)
+    npy = io.BytesIO()
+    np.save(npy, np.clip(np.rint(np.round(resized(side, side), 9)), 0, 255).astype(np.uint8))
+    return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex(), npy.getvalue()
+
+
 def test_media_of_texts(spark, odd):
     want = texts_of(odd)
     for x in media.text_media(odd).collect():
@@ -599,6 +680,12 @@ def test_media_of_texts(spark, odd):
         pad = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
         assert (x["n_bytes"], x["payload_bytes"], x["tail_crc32"]) == (len(data), len(pad), zlib.crc32(pad[-64:]))
         assert x["payload_sha256"] == hashlib.sha256(pad).hexdigest() and x["media_bytes"] > len(pad)
+        samples = np.frombuffer(pad, np.uint8).reshape(-1, 64)
+        stored = media.encode_bmp(samples) if zlib.crc32(data) & 1 else b"P5\n64 %d\n255\n" % len(samples) + pad
+        assert x["media_sha256"] == hashlib.sha256(stored).hexdigest() and x["media_bytes"] == len(stored)
+        shown, npy = plain_feature(samples, media.SIDE)
+        assert bytes(x["tile"]) == npy and x["feature"] == f"{shown}:{hashlib.sha256(npy).hexdigest()[:16]}:{len(samples)}x64"
+    assert {x["format"] for x in media.text_media(odd).collect()} == {"pgm", "bmp"}
     assert media.text_media(odd.where("false")).count() == 0
     pics = spark.createDataFrame([(1, bytearray(media.encode_pgm(np.eye(9, dtype=np.uint8)))), (2, bytearray(b"junk")), (3, None)], "doc_id long, media binary")
     got = {x["doc_id"]: x for x in media.media_features(pics).collect()}
