@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectorloom.functions import embed
 from vectorloom.functions import vectors as V
 from vectorloom.functions.embed import hash_embedding
 from vectorloom.operators import analytics, fusion, retrieval, search
@@ -39,7 +40,8 @@ def test_exact_search_finds_itself_first(corpus, queries):
 
 def test_blocks_of_queries_change_nothing(corpus, queries, monkeypatch):
     whole = search.knn(corpus, queries, 5).toPandas()
-    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "BATCH", 7)
+    monkeypatch.setattr(search, "SHARD", 90)
     parts = search.knn(corpus, queries, 5).toPandas()
     key = ["query_id", "rank"]
     assert whole.sort_values(key).values.tolist() == parts.sort_values(key).values.tolist()
@@ -63,6 +65,61 @@ def test_graph_recall(corpus, queries, shards):
     assert search.recall(found, exact).first()["recall"] >= 0.9
 
 
+def test_graph_grows_and_shrinks(spark, corpus, queries):
+    """Vectors that are added are found like those of the build; removed ones are not; wrong ids are told."""
+    exact = search.knn(corpus, queries, 10)
+    part = search.build_graph(corpus.where("vec_id % 3 <> 0"), shard_count=2)
+    grown = search.add_to_graph(part, corpus.where("vec_id % 3 = 0"))
+    assert grown.count() == corpus.count()
+    assert search.recall(search.graph_knn(grown, queries, 10), exact).first()["recall"] >= 0.9
+    with pytest.raises(ValueError):
+        search.add_to_graph(grown, corpus.where("vec_id = 3"))
+    left, missing = search.remove_from_graph(grown, spark.createDataFrame([(3,), (-7,)], "vec_id long"))
+    assert [r[0] for r in missing.collect()] == [-7] and left.count() == corpus.count() - 1
+    assert search.graph_knn(left, queries, 10).where("vec_id = 3").count() == 0
+    stats = {r["layer"]: r for r in search.graph_statistics(grown).collect()}
+    assert stats[0]["nodes"] == corpus.count() and stats[0]["most"] <= 2 * search.LINKS
+    assert all(stats[i]["nodes"] < stats[i - 1]["nodes"] for i in range(1, len(stats))) and len(stats) > 1
+
+
+@pytest.mark.parametrize("leaf", [40, 1000])
+def test_box_tree_is_exact(corpus, queries, leaf):
+    tree = search.box_tree(corpus, leaf)
+    want = search.knn(corpus, queries, 7).select("query_id", "vec_id", "distance", "rank").collect()
+    got = search.tree_knn(tree, queries, 7).select("query_id", "vec_id", "distance", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    sizes = [r["n"] for r in search.boxes(tree).collect()]
+    assert sum(sizes) == corpus.count() and max(sizes) <= 2 * leaf
+    assert search.tree_knn(search.box_tree(corpus.where("false"), leaf), queries, 7).count() == 0
+
+
+def test_box_tree_prunes_what_is_clustered(spark):
+    """Far clusters are in leaves that a query does not ask: the second pass has no rows."""
+    g = np.random.default_rng(3)
+    rows = [(i, (np.eye(8)[i % 4] * 10 + g.standard_normal(8) * 0.1).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = search.tree_knn(search.box_tree(df, 100), q, 5)
+    assert got.where("query_id % 4 <> vec_id % 4").count() == 0 and got.count() == 20
+
+
+def test_registered_searches_reach_their_recall(spark):
+    """Planes and probes of the registered queries, on all queries of a larger table."""
+    from vectorloom.plans import search_queries as S
+
+    sf = "/root/testdata/sf0.01"
+    exact = S.i1_knn_exact(spark, sf)
+    for q in (S.i3_lsh_knn, S.i3_lsh_tuned, S.i4_graph_knn, S.i5_ivf_knn, S.i5_ivf_trained, S.i5_ivf_quantized):
+        assert search.recall(q(spark, sf), exact).first()["recall"] >= 0.9, q.__name__
+
+
+def test_hot_lists_are_dealt_to_shards(corpus, queries, monkeypatch):
+    centroids = search.ivf_centroids(corpus, 4)
+    whole = search.ivf_knn(corpus, queries, centroids, 10, 2).collect()
+    monkeypatch.setattr(search, "SHARD", 30)
+    assert sorted(map(tuple, search.ivf_knn(corpus, queries, centroids, 10, 2).collect())) == sorted(map(tuple, whole))
+
+
 def test_ivf_recall_and_full_probe(corpus, queries):
     exact = search.knn(corpus, queries, 10)
     centroids = search.ivf_centroids(corpus, 16)
@@ -133,6 +190,15 @@ def test_drift_of_a_shifted_copy(spark):
 def test_signature(spark):
     got = spark.createDataFrame([("payload", "key")], "p string, s string").select(E.signature("p", "s")).first()[0]
     assert got == "sha256=" + hmac.new(b"key", b"payload", hashlib.sha256).hexdigest()
+    odd = [("", ""), ("päyload", "sécret"), ("x" * 1000, "k" * 64), ("x", "k" * 65), ("6\\", "6\\")]
+    for r in spark.createDataFrame(odd, "p string, s string").select("p", "s", E.signature("p", "s").alias("h")).collect():
+        assert r["h"] == "sha256=" + hmac.new(r["s"].encode(), r["p"].encode(), hashlib.sha256).hexdigest()
+
+
+def test_split_is_by_order_of_ids(spark):
+    df = spark.createDataFrame([(i * i * 7 - 50,) for i in range(3000)], "vec_id long")
+    ids = sorted(r[0] for r in df.collect())
+    assert {r[0] for r in analytics.split(df).where("side = 'baseline'").collect()} == set(ids[:2100])
 
 
 def test_streams_deduplicate_and_resume(spark, tmp_path):
@@ -161,7 +227,7 @@ def test_catalog(spark, tmp_path):
     n, bad = cat.add_documents(key, batch)
     assert n == 3 and [tuple(r) for r in bad.collect()] == [(1, "embedding")]
     assert cat.list_corpora().first()["num_documents"] == 2
-    assert {r["title"] for r in cat.documents.read().collect()} == {"First", "Untitled"}
+    assert {r["title"] for r in cat.documents().collect()} == {"First", "Untitled"}
     assert cat.statistics().select("documents", "chunks").first() == (2, 3)
     export = cat.export(str(tmp_path / "out")).first()
     assert export["documents"] == 2 and export["chunks"] == 3
@@ -170,11 +236,11 @@ def test_catalog(spark, tmp_path):
     assert cat.set_index(key, "ivf") == ("brute_force", "ivf", 3)
     missing = cat.delete_documents(spark.createDataFrame([("a",), ("zzz",)], "document_id string"))
     assert [tuple(r) for r in missing.collect()] == [("zzz", "Document not found")]
-    assert cat.chunks.read().count() == 1
+    assert cat.chunks().count() == 1
     assert {r["key"] for r in C.replayed(cat.operations()).collect()} == {"c"}
     assert cat.compact(1) == 1
     assert cat.delete_corpus(key) and not cat.delete_corpus(key)
-    assert cat.chunks.read().count() == 0
+    assert cat.chunks().count() == 0
 
 
 def test_catalog_embeds_texts(spark, tmp_path):
@@ -186,14 +252,36 @@ def test_catalog_embeds_texts(spark, tmp_path):
     assert n == 2 and bad.count() == 0
 
 
-def test_versions_are_kept_and_limited(spark, tmp_path):
-    t = C.Versioned(spark, str(tmp_path / "t"), "x long", keep=2)
-    assert t.read().count() == 0
-    for i in range(4):
-        t.write(spark.range(i).withColumnRenamed("id", "x"))
-    assert t.versions() == [3, 4] and t.read().count() == 3 and t.read(3).count() == 2
+def test_commits_can_be_read_again_and_lost_ones_are_not_seen(spark, tmp_path):
+    cat = C.Catalog(spark, str(tmp_path / "cat"))
+    assert cat.corpora().count() == 0 and cat.last_commit() == 0
+    key = cat.create_corpus("a", 4)
+    cat.create_corpus("b", 4)
+    assert cat.corpora().count() == 2 and cat.corpora(as_of=1).count() == 1
+    cat.corpora().withColumn("corpus_id", F.lit("lost")).write.parquet(f"{cat.path}/corpora/commit=3")  # a job that ended before its log line
+    assert cat.corpora().count() == 2 and cat.last_commit() == 2
+    cat.set_index(key, "hnsw")
+    assert {r["name"]: r["index_type"] for r in cat.corpora().collect()} == {"a": "hnsw", "b": "brute_force"}
+    assert cat.corpora(as_of=2).where("index_type = 'hnsw'").count() == 0
+    cat.compact(1)
+    assert cat.corpora().count() == 2 and cat.delete_corpus(key) and [r["name"] for r in cat.corpora().collect()] == ["b"]
+
+
+def test_embedding_connector(spark):
+    rows = spark.createDataFrame([(i, "x" * 600_000 if i == 5 else "" if i == 6 else f"word {i}") for i in range(250)], "doc_id long, text string").coalesce(1)
+
+    def call(texts, kind):
+        assert len(texts) <= 96 and kind == "search_query"
+        if any(t == "word 249" for t in texts):
+            raise embed.TransientError("busy")
+        return [[3.0, 4.0, 12.0] if t else [0.0, 0.0, 5.0] for t in texts]
+
+    got = {r["doc_id"]: r for r in embed.embedded(rows, call, 2, "search_query", wait=0.0).collect()}
+    assert len(got) == 250 and got[5]["error"] == "text is too long" and got[6]["error"] == "zero norm"
+    assert got[0]["error"] is None and np.allclose(got[0]["embedding"], [0.6, 0.8])
+    assert all(got[i]["error"] == "the service failed: busy" for i in range(192, 250)) and got[191]["error"] is None
     with pytest.raises(ValueError):
-        t.read(1)
+        embed.embedded(rows, call, 2, "poetry")
 
 
 def test_log_keeps_lines_that_it_cannot_read(spark, tmp_path):

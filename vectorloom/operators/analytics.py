@@ -66,14 +66,27 @@ def corpus_health(df: DataFrame) -> DataFrame:
     return both.withColumn("health_score", F.greatest(F.lit(0.0), 1 - penalty))
 
 
+#: Ranges of ids that are counted at once.
+RANGES = 1024
+
+
 # ---- drift --------------------------------------------------------------------------------------------------------
 
 
 def split(df: DataFrame, share: float = 0.7) -> DataFrame:
-    """Add `side`: baseline for the first share of the ids, current for the rest."""
-    n = df.count()
-    last = df.select("vec_id").orderBy("vec_id").offset(max(0, int(n * share) - 1)).limit(1).first()
-    return df.withColumn("side", F.when(F.col("vec_id") <= (last[0] if last else -1), "baseline").otherwise("current"))
+    """Add `side`: baseline for the first share of the ids, current for the rest. The border is found by counting ranges of ids,
+    narrower each time, so that no task orders them all."""
+    low, high, n = df.agg(F.min("vec_id"), F.max("vec_id"), F.count("vec_id")).first()
+    place = max(1, int(n * share))  # of the last id of the baseline
+    while n and low < high:
+        width = -(-(high - low + 1) // RANGES)
+        part = df.where(F.col("vec_id").between(low, high)).groupBy(F.expr(f"(vec_id - {low}) div {width}").alias("part")).count()
+        for r in part.orderBy("part").collect():  # at most RANGES rows
+            if r["count"] >= place:
+                low, high = low + r["part"] * width, min(high, low + (r["part"] + 1) * width - 1)
+                break
+            place -= r["count"]
+    return df.withColumn("side", F.when(F.col("vec_id") <= F.lit(low if n else -1), "baseline").otherwise("current"))
 
 
 def dimension_shifts(sides: DataFrame) -> DataFrame:
@@ -116,7 +129,9 @@ def ks(sides: DataFrame) -> DataFrame:
 def overlap(sides: DataFrame, values: int = 1000, bins: int = 49) -> DataFrame:
     """One row: the histograms' overlap, over the first values of either side in the order of ids and places."""
     width = F.size("embedding")
-    first = sides.withColumn("n", F.row_number().over(Window.partitionBy("side").orderBy("vec_id"))).where((F.col("n") - 1) * width < values)
+    # a vector has at least one value, so the first `values` vectors of a side are enough; each side's are a bounded top-k
+    top = [sides.where(F.col("side") == s).orderBy("vec_id").limit(values) for s in ("baseline", "current")]
+    first = top[0].unionByName(top[1]).withColumn("n", F.row_number().over(Window.partitionBy("side").orderBy("vec_id"))).where((F.col("n") - 1) * width < values)
     x = first.select("side", "n", width.alias("w"), F.posexplode("embedding").alias("pos", "x")).where((F.col("n") - 1) * F.col("w") + F.col("pos") < values)
     x = x.withColumn("x", F.col("x").cast("double"))
     low, high = x.agg(F.min("x"), F.max("x")).first()

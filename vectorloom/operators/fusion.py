@@ -113,7 +113,8 @@ def temperature_sample(results: DataFrame, k: int, temperature: float = 1.0, mul
     w = Window.partitionBy("query_id")
     if temperature == 0:
         return results.where(F.col("rank") <= k)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("query_id"), F.col("vec_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("vec_id").cast("string")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
     key = -F.col("distance") / temperature - F.log(-F.log(u))
     drawn = results.where(F.col("rank") <= k * multiplier).withColumn("key", key).withColumn("drawn", F.row_number().over(w.orderBy(F.desc("key"), "vec_id"))).where(F.col("drawn") <= k)
     return drawn.drop("key", "drawn").withColumn("rank", F.row_number().over(w.orderBy("distance", "vec_id")))

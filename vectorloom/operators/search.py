@@ -1,24 +1,33 @@
-"""Nearest neighbours: exact, by random hyperplanes, by inverted lists, and by sharded graphs.
+"""Nearest neighbours: exact, by a tree of boxes, by random hyperplanes, by inverted lists, and by sharded layered graphs.
 
-Queries are a stated set (query_id, embedding). They go to the tasks in blocks of a fixed size; each task keeps its best
-k of a batch by matrix products, and one window over at most k rows a batch ranks them. Distances are cosine distances
-of normalised vectors, rounded to six places, ties by id.
+Queries are a stated set (query_id, embedding), rows like the corpus: a shuffle deals the corpus into shards of a bounded
+size and brings the queries to each shard that they ask, so neither passes through the driver. A task ranks a batch of
+queries against its shard by a matrix product and keeps the best k, and one window over k rows a shard ranks those.
+Distances are cosine distances of normalised vectors, rounded to six places, ties by id.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions import vectors as V
+from vectorloom.sources.shared import written
 
-#: Queries whose vectors are sent to the tasks at once.
-BLOCK = 2048
+#: Queries that are ranked at once.
+BATCH = 512
 PLACES = 6
+#: Vectors of a shard, about; what bounds what a task holds.
+SHARD = 20_000
+
+
+def shards(n: int) -> int:
+    return max(1, -(-n // SHARD))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -30,17 +39,38 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return _unit(np.stack(column.to_numpy()).astype(np.float64))
 
 
-def blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, unit vectors) of BLOCK queries at a time; only one block is on the driver."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == BLOCK:
-            yield np.array(ids), _unit(np.array(rows, np.float64))
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), _unit(np.array(rows, np.float64))
+def _dealt(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(shard, vec_id, query_id, ...) sorted so that a partition has whole shards, each with its vectors first and then its queries; of vec_id and query_id one is null."""
+    both = corpus.withColumn("query_id", F.lit(None).cast("long")).unionByName(queries.withColumn("vec_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "shard").sortWithinPartitions("shard", F.col("query_id").isNotNull())
+
+
+def _by_shard(batches: Iterator[pd.DataFrame], load, ask) -> Iterator[pd.DataFrame]:
+    """Of dealt rows: `load` a shard's vectors, then `ask` it batches of queries."""
+    now, held, shard = None, [], None
+    for pdf in batches:
+        for s, part in pdf.groupby("shard", sort=False):
+            if s != now:
+                now, held, shard = s, [], None
+            mine, asked = part[part["query_id"].isna()], part[part["query_id"].notna()]
+            if len(mine):
+                held.append(mine)
+            for at in range(0, len(asked), BATCH):
+                if held and shard is None:
+                    shard = load(pd.concat(held))
+                if shard is not None:
+                    yield ask(shard, asked.iloc[at : at + BATCH])
+
+
+def _best(d: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k least of each row, ties by `vec`."""
+    k = min(k, d.shape[1])
+    rows, columns = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((vec[columns], d[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
 
 
 def ranked(found: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
@@ -55,24 +85,40 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, threshold: float | N
     """Exact search: (query_id, vec_id, distance, rank)."""
     if k <= 0:
         raise ValueError("k must be positive")
-    sc, found = corpus.sparkSession.sparkContext, None
-    for ids, m in blocks(queries):
-        block = sc.broadcast((ids, m))
-
-        def best(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            ids, m = block.value
-            for pdf in batches:
-                if len(pdf):
-                    d = np.round(1 - m @ _matrix(pdf["embedding"]).T, PLACES) + 0.0
-                    vec = pdf["vec_id"].to_numpy()
-                    order = np.lexsort((np.broadcast_to(vec, d.shape), d))[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": vec[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-
-        part = corpus.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, distance double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
-    return ranked(found, k, threshold)
+    n = shards(corpus.count())
+    rows = corpus.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"), F.col("query_id").cast("long").alias("query_id"), "embedding")
+    return ranked(_scan(rows, asked, k), k, threshold)
+
+
+def _scan(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, distance): the best k of each shard for the queries that ask it."""
+
+    def load(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return _matrix(pdf["embedding"]), pdf["vec_id"].to_numpy().astype(np.int64)
+
+    def ask(shard: tuple[np.ndarray, np.ndarray], q: pd.DataFrame) -> pd.DataFrame:
+        x, vec = shard
+        d = np.round(1 - _matrix(q["embedding"]) @ x.T, PLACES) + 0.0
+        i, j = _best(d, vec, k)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy().astype(np.int64)[i], "vec_id": vec[j], "distance": d[i, j]})
+
+    return _dealt(rows, asked).mapInPandas(lambda batches: _by_shard(batches, load, ask), "query_id long, vec_id long, distance double")
+
+
+def _list_scan(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, distance): the best k of each `list` for the queries that ask it, pairs that two lists give once.
+
+    A list of more than SHARD vectors is dealt to several shards. There are at most as many such lists as shards in all,
+    and only their sizes are broadcast.
+    """
+    hot = rows.groupBy("list").count().where(F.col("count") > SHARD).select("list", F.ceil(F.col("count") / SHARD).alias("parts"))
+    hot, name = F.broadcast(hot), lambda part: F.concat_ws(":", F.col("list").cast("string"), part.cast("string")).alias("shard")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    rows = rows.join(hot, "list", "left").select(name(F.pmod(F.xxhash64("vec_id"), parts)), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = asked.join(hot, "list", "left").select("list", "query_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    asked = asked.select(name(F.col("part")), F.col("query_id").cast("long").alias("query_id"), "embedding")
+    return _scan(rows, asked, k).groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
 
 
 def knn_one(corpus: DataFrame, query: list[float], k: int = 10, threshold: float | None = None) -> DataFrame:
@@ -122,8 +168,34 @@ def buckets(df: DataFrame, normals: np.ndarray, id_col: str) -> DataFrame:
 def lsh_knn(corpus: DataFrame, queries: DataFrame, normals: np.ndarray, k: int = 10, threshold: float | None = None, index: DataFrame | None = None) -> DataFrame:
     """Vectors that share a bucket with the query in some table, ranked exactly; can be fewer than k."""
     index = buckets(corpus, normals, "vec_id") if index is None else index
-    met = index.join(buckets(queries, normals, "query_id"), ["table", "bucket"]).select("query_id", "vec_id")
-    return rescored(met, corpus, queries, k, threshold)
+    key = F.concat_ws("-", "table", "bucket").alias("list")
+    asked = buckets(queries, normals, "query_id").select("query_id", key).join(queries, "query_id")
+    rows = index.select("vec_id", key).join(asked.select("list").distinct(), "list", "left_semi").join(corpus.select("vec_id", "embedding"), "vec_id")
+    return ranked(_list_scan(rows, asked, k), k, threshold)
+
+
+def _fewest(good, most: int) -> int:
+    """The least number up to `most` that is good, found by doubling and then halving the gap; `most` if none is."""
+    low, high = 0, 1
+    while high < most and not good(high):
+        low, high = high, 2 * high
+    high = min(high, most)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if good(mid) else (mid, high)
+    return high
+
+
+def tuned_planes(corpus: DataFrame, queries: DataFrame, k: int = 10, target: float = 0.9, most: int = 512, seed: int = 42) -> np.ndarray:
+    """Planes whose recall against the exact scan reaches `target` on these queries: bits by the corpus's size, then the fewest tables."""
+    first = corpus.select(F.size("embedding")).first()
+    bits = max(4, min(20, (corpus.count() // 128).bit_length() + 2))
+    normals = planes(first[0] if first else 1, most, bits, seed)
+    exact = knn(corpus, queries, k).cache()
+    good = lambda n: recall(lsh_knn(corpus, queries, normals[:n], k), exact).first()["recall"] >= target
+    n = _fewest(good, most) if first else 1
+    exact.unpersist()
+    return normals[:n]
 
 
 # ---- inverted lists -----------------------------------------------------------------------------------------------
@@ -157,30 +229,42 @@ def assigned(df: DataFrame, centroids: np.ndarray, id_col: str, probes: int = 1)
     return df.select(id_col, "embedding").mapInPandas(run, f"{id_col} long, cluster long")
 
 
-def ivf_knn(corpus: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = 10, nprobe: int = 8, threshold: float | None = None, index: DataFrame | None = None) -> DataFrame:
-    """The lists of the query's nearest centroids, ranked exactly. Without centroids the search is exact."""
+def lists_for(n: int) -> int:
+    """Lists that keep scans of a list and of the centroids in balance: the root of the number of vectors."""
+    return max(16, round(n**0.5))
+
+
+def ivf_knn(corpus: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = 10, nprobe: int = 8, threshold: float | None = None, index: DataFrame | None = None, codebooks: DataFrame | None = None, pool: int = 10) -> DataFrame:
+    """The lists of the query's nearest centroids. Without centroids the search is exact; with `codebooks` the lists are
+    scanned in product-quantized form, and the best pool * k are ranked exactly."""
     if not len(centroids):
         return knn(corpus, queries, k, threshold)
     index = assigned(corpus, centroids, "vec_id") if index is None else index
-    met = index.join(assigned(queries, centroids, "query_id", nprobe), "cluster").select("query_id", "vec_id")
-    return rescored(met, corpus, queries, k, threshold)
+    held = corpus.select("vec_id", "embedding") if codebooks is None else pq_decoded(pq_encoded(corpus, codebooks), codebooks)
+    rows = index.select("vec_id", F.col("cluster").alias("list")).join(held, "vec_id")
+    asked = assigned(queries, centroids, "query_id", nprobe).select("query_id", F.col("cluster").alias("list")).join(queries, "query_id")
+    if codebooks is None:
+        return ranked(_list_scan(rows, asked, k), k, threshold)
+    rough = ranked(_list_scan(rows, asked, pool * k), pool * k)
+    return rescored(rough.select("query_id", "vec_id"), corpus, queries, k, threshold)
+
+
+def recentred(corpus: DataFrame, lists: DataFrame) -> DataFrame:
+    """(cluster, embedding): the unit mean of each list's vectors, for a new assignment after the corpus has changed."""
+    values = corpus.select("vec_id", F.posexplode(V.normalised("embedding")).alias("pos", "x")).join(lists, "vec_id")
+    means = values.groupBy("cluster", "pos").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("m"))
+    return means.select("cluster", V.normalised(F.col("m.x")).alias("embedding"))
 
 
 def tuned_probes(corpus: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = 10, target: float = 0.9) -> int:
-    """The fewest probes, doubling and then halving the gap, whose recall against the exact scan reaches `target` on these queries."""
+    """The fewest probes whose recall against the exact scan reaches `target` on these queries."""
     exact = knn(corpus, queries, k).cache()
     index = assigned(corpus, centroids, "vec_id").cache()
     good = lambda n: recall(ivf_knn(corpus, queries, centroids, k, n, index=index), exact).first()["recall"] >= target
-    low, high = 0, 1
-    while high < len(centroids) and not good(high):
-        low, high = high, 2 * high
-    high = min(high, len(centroids))
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (low, mid) if good(mid) else (mid, high)
+    n = _fewest(good, len(centroids))
     exact.unpersist()
     index.unpersist()
-    return high
+    return n
 
 
 def pq_codebooks(corpus: DataFrame, subvectors: int = 8, centroids: int = 256, seed: int = 42) -> DataFrame:
@@ -199,65 +283,234 @@ def pq_codebooks(corpus: DataFrame, subvectors: int = 8, centroids: int = 256, s
     return corpus.sparkSession.createDataFrame(rows, "subvector int, code int, centroid array<double>")
 
 
-# ---- sharded graphs -----------------------------------------------------------------------------------------------
+def _codebook_array(codebooks: DataFrame) -> np.ndarray:
+    """(subvector, code, place): a codebook has a fixed size."""
+    rows = codebooks.orderBy("subvector", "code").collect()
+    n = 1 + max(r["subvector"] for r in rows)
+    return np.array([r["centroid"] for r in rows]).reshape(n, len(rows) // n, -1)
 
-#: Vectors of a shard, about; what bounds the group that builds a graph.
-SHARD = 20_000
 
+def pq_encoded(corpus: DataFrame, codebooks: DataFrame) -> DataFrame:
+    """(vec_id, codes): the nearest centroid of each slice."""
+    books = _codebook_array(codebooks)
 
-def shards(n: int) -> int:
-    return max(1, -(-n // SHARD))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                parts = np.split(_matrix(pdf["embedding"]), len(books), axis=1)
+                codes = [np.argmin((b**2).sum(1) - 2 * x @ b.T, axis=1) for x, b in zip(parts, books, strict=True)]
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "codes": list(np.stack(codes, 1))})
+
+    return corpus.select("vec_id", "embedding").mapInPandas(run, "vec_id long, codes array<int>")
+
+
+def pq_decoded(codes: DataFrame, codebooks: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of codes."""
+    books = _codebook_array(codebooks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                c = np.stack(pdf["codes"].to_numpy())
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "embedding": list(np.concatenate([b[c[:, i]] for i, b in enumerate(books)], axis=1))})
+
+    return codes.mapInPandas(run, "vec_id long, embedding array<double>")
 
 
-def build_graph(corpus: DataFrame, m: int = 16, shard_count: int | None = None) -> DataFrame:
-    """(shard, vec_id, embedding, neighbours): in each hash shard a graph of every vector's m nearest and m others, spread evenly, both ways."""
+# ---- a tree of boxes ----------------------------------------------------------------------------------------------
+
+
+def box_tree(corpus: DataFrame, leaf: int = SHARD) -> DataFrame:
+    """(vec_id, embedding, leaf): a k-d tree of the corpus. Each pass halves all nodes at the median of their widest
+    dimension, until leaves have about `leaf` vectors; the nodes of a pass, at most as many as leaves, are broadcast."""
+    rows = written(corpus.select("vec_id", "embedding", V.normalised("embedding").alias("u"), F.lit(1).cast("long").alias("leaf")), "tree")
+    for _ in range(max(0, (-(-rows.count() // leaf) - 1).bit_length())):
+        spread = rows.select("leaf", F.posexplode("u").alias("pos", "x")).groupBy("leaf", "pos").agg(F.stddev_pop("x").alias("sd"))
+        nodes = spread.groupBy("leaf").agg(F.max(F.struct("sd", "pos")).alias("w")).select("leaf", F.col("w.pos").alias("dim"))
+        at = written(rows.join(F.broadcast(nodes), "leaf").withColumn("x", F.get("u", F.col("dim"))), "tree")
+        cuts = at.groupBy("leaf").agg(F.percentile_approx("x", 0.5).alias("cut"))
+        rows = at.join(F.broadcast(cuts), "leaf").select("vec_id", "embedding", "u", (F.col("leaf") * 2 + (F.col("x") > F.col("cut")).cast("long")).alias("leaf"))
+    return rows.drop("u")
+
+
+def boxes(tree: DataFrame) -> DataFrame:
+    """(leaf, n, low, high): the bounds of each leaf."""
+    values = tree.select("leaf", F.posexplode(V.normalised("embedding")).alias("pos", "x")).groupBy("leaf", "pos").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return values.groupBy("leaf").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("b")).select("leaf", "n", "b.low", "b.high")
+
+
+def tree_knn(tree: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None) -> DataFrame:
+    """Exact search of a tree of boxes: first each query's nearest leaf, then every leaf whose box can hold a nearer vector than the k-th found.
+
+    For unit vectors the cosine distance is half the squared Euclidean one, so half the squared distance to a box is a bound.
+    """
+    found = boxes(tree).orderBy("leaf").collect()  # one row a leaf
+    if not found:
+        return knn(tree, queries, k, threshold)
+    names = np.array([r["leaf"] for r in found])
+    low, high = (np.array([r[c] for r in found]) for c in ("low", "high"))
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                q = _matrix(part["embedding"])
+                gap = np.stack([(np.maximum(0, np.maximum(low - x, x - high)) ** 2).sum(1) / 2 for x in q])
+                near = gap.argmin(1)
+                yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), len(names)), "list": np.tile(names, len(part)), "bound": gap.ravel(), "nearest": (np.arange(len(names)) == near[:, None]).ravel()})
+
+    asked = queries.select("query_id", "embedding").mapInPandas(bounds, "query_id long, list long, bound double, nearest boolean")
+    rows = tree.select(F.col("leaf").alias("list"), "vec_id", "embedding")
+    ask = lambda which: which.select("query_id", "list").join(queries, "query_id")
+    first = ranked(_list_scan(rows, ask(asked.where("nearest")), k), k)
+    worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(2.0)).alias("worst"))
+    more = asked.where("not nearest").join(worst, "query_id").where(F.col("bound") <= F.col("worst") + 10.0**-PLACES)
+    return ranked(first.drop("rank").union(_list_scan(rows, ask(more), k).select("query_id", "vec_id", "distance")), k, threshold)
+
+
+# ---- sharded layered graphs ---------------------------------------------------------------------------------------
+
+#: Links of a node on a layer (twice as many on the lowest), and the candidates that they are chosen from.
+LINKS, CANDIDATES = 16, 100
+#: The schema of a graph; `layers` has a node's neighbours on each of its layers, the lowest first.
+GRAPH = "shard long, vec_id long, embedding array<float>, layers array<array<long>>"
+
+
+def level(vec_id: str, m: int = LINKS, seed: int = 42) -> Column:
+    """The highest layer of a node: geometric, so that each layer has one in m of the nodes below."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), vec_id), F.lit(1 << 40)) + 1) / float(1 << 40)
+    return F.floor(-F.log(u) / F.log(F.lit(float(m)))).cast("int")
+
+
+def _chosen(x: np.ndarray, i: int, near: np.ndarray, m: int) -> list[int]:
+    """At most m of the candidates, nearest first: those that are nearer to i than to any that was chosen, then the nearest of the others."""
+    s = x[near] @ x[near].T
+    own, kept = x[near] @ x[i], []
+    for c in range(len(near)):
+        if len(kept) < m and (not kept or own[c] > s[c, kept].max()):
+            kept.append(c)
+    kept += [c for c in range(len(near)) if c not in set(kept)][: m - len(kept)]
+    return [int(near[c]) for c in kept[:m]]
+
+
+def _linked(x: np.ndarray, near: dict[int, set[int]], m: int) -> dict[int, set[int]]:
+    """Links both ways, cut to m a node by the same choice."""
+    for i, js in list(near.items()):
+        for j in js:
+            near[j].add(i)
+    for i, js in near.items():
+        if len(js) > m:
+            js = np.array(sorted(js))
+            near[i] = set(_chosen(x, i, js[np.argsort(-(x[js] @ x[i]), kind="stable")], m))
+    return near
+
+
+def _layers(x: np.ndarray, top: np.ndarray, m: int, candidates: int) -> list[dict[int, set[int]]]:
+    """For each layer the links of its nodes: chosen among their nearest on the layer, by matrix products."""
+    out = []
+    for depth in range(int(top.max()) + 1):
+        on, cap = np.nonzero(top >= depth)[0], 2 * m if depth == 0 else m
+        near: dict[int, set[int]] = {int(i): set() for i in on}
+        for at in range(0, len(on), 512):
+            s = x[on[at : at + 512]] @ x[on].T
+            s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
+            n = min(candidates, len(on) - 1)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :n] if n else np.zeros((len(s), 0), int)
+            for i, row in zip(on[at : at + 512].tolist(), order, strict=True):
+                near[i] = set(_chosen(x, i, on[row], m))
+        out.append(_linked(x, near, cap))
+    return out
+
+
+def build_graph(corpus: DataFrame, m: int = LINKS, candidates: int = CANDIDATES, shard_count: int | None = None, seed: int = 42) -> DataFrame:
+    """A layered graph of each hash shard, GRAPH: a node's links are chosen among its `candidates` nearest on each of its layers."""
     shard_count = shard_count or shards(corpus.count())
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id").reset_index(drop=True)
-        x, n = _matrix(pdf["embedding"]), len(pdf)
-        near: list[set[int]] = [set() for _ in range(n)]
-        for at in range(0, n, 512):
-            s = x[at : at + 512] @ x.T
-            for i, row in enumerate(np.argpartition(-s, min(m, n - 1), axis=1)[:, : m + 1], at):
-                for j in row:
-                    if j != i:
-                        near[i].add(int(j))
-                        near[int(j)].add(i)
-        for i in range(n):  # long links keep the graph connected
-            for step in range(1, 4):
-                j = (i + n * step // 4 + 1) % n
-                if j != i:
-                    near[i].add(j)
-                    near[j].add(i)
         ids = pdf["vec_id"].to_numpy()
-        pdf["neighbours"] = [[int(ids[j]) for j in sorted(v)] for v in near]
-        return pdf[["shard", "vec_id", "embedding", "neighbours"]]
+        links = _layers(_matrix(pdf["embedding"]), pdf["top"].to_numpy(), m, candidates)
+        pdf["layers"] = [[sorted(int(ids[j]) for j in layer[i]) for layer in links if i in layer] for i in range(len(pdf))]
+        return pdf[["shard", "vec_id", "embedding", "layers"]]
 
-    kind = corpus.schema["embedding"].dataType.simpleString()
-    return corpus.select(F.pmod(F.xxhash64("vec_id"), F.lit(shard_count)).alias("shard"), "vec_id", "embedding").groupBy("shard").applyInPandas(build, f"shard long, vec_id long, embedding {kind}, neighbours array<long>")
+    rows = corpus.select(F.pmod(F.xxhash64("vec_id"), F.lit(shard_count)).alias("shard"), "vec_id", "embedding", level("vec_id", m, seed).alias("top"))
+    return rows.groupBy("shard").applyInPandas(build, GRAPH)
 
 
-def walk(x: np.ndarray, near: list[np.ndarray], q: np.ndarray, ef: int, entries: int = 8) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """Best-first search of a graph: the ef nearest that were met, their distances, and the steps (node, distance, action)."""
-    import heapq
+def add_to_graph(graph: DataFrame, fresh: DataFrame, m: int = LINKS, ef: int = CANDIDATES, seed: int = 42) -> DataFrame:
+    """The graph with more vectors: each finds its neighbours by searching its shard's graph, without a rebuild. An id that is there is an error."""
+    count = graph.agg(F.max("shard")).first()[0]
+    known = graph.select("vec_id").join(fresh.select("vec_id"), "vec_id", "left_semi").limit(1).collect()
+    if known or fresh.groupBy("vec_id").count().where("count > 1").limit(1).collect():
+        raise ValueError("a vector id is in the index already")
+    rows = fresh.select(F.pmod(F.xxhash64("vec_id"), F.lit((count or 0) + 1)).alias("shard"), "vec_id", "embedding", F.lit(None).cast("array<array<bigint>>").alias("layers"), level("vec_id", m, seed).alias("top"))
 
-    n = len(x)
-    start = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(int))
-    d = 1 - x[start] @ q
-    seen = set(start.tolist())
-    todo = [(float(v), int(i)) for v, i in zip(d, start, strict=True)]
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id").reset_index(drop=True)
+        pdf["new"] = pdf["layers"].isna()
+        pdf = pdf.sort_values(["new", "vec_id"]).reset_index(drop=True)
+        ids, x = pdf["vec_id"].to_numpy(), _matrix(pdf["embedding"])
+        place = {int(v): i for i, v in enumerate(ids)}
+        net = [[{place[int(j)] for j in layer} for layer in node] if node is not None else [] for node in pdf["layers"]]
+        for i in np.nonzero(pdf["new"].to_numpy())[0].tolist():
+            top, start = int(pdf["top"][i]), _entry(net[:i])
+            net[i] = [set() for _ in range(top + 1)]
+            for depth in range(len(net[start]) - 1 if start is not None else -1, -1, -1):
+                near, _, _ = _walk(x, lambda j, d=depth: net[j][d], x[i], ef if depth <= top else 1, [start])
+                start = int(near[0])
+                if depth <= top:
+                    for j in _chosen(x, i, near, m):
+                        net[i][depth].add(j)
+                        net[j][depth].add(i)
+                        cap = 2 * m if depth == 0 else m
+                        if len(net[j][depth]) > cap:
+                            js = np.array(sorted(net[j][depth]))
+                            net[j][depth] = set(_chosen(x, j, js[np.argsort(-(x[js] @ x[j]), kind="stable")], cap))
+        pdf["layers"] = [[sorted(int(ids[j]) for j in layer) for layer in node] for node in net]
+        return pdf[["shard", "vec_id", "embedding", "layers"]]
+
+    return graph.withColumn("top", F.lit(0)).unionByName(rows).groupBy("shard").applyInPandas(grow, GRAPH)
+
+
+def remove_from_graph(graph: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the graph without the vectors of `ids` (vec_id) and links to them, the ids that it doesn't have)."""
+    missing = ids.join(graph.select("vec_id"), "vec_id", "left_anti").select("vec_id")
+    left = graph.join(ids.select("vec_id"), "vec_id", "left_anti")
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        here = set(pdf["vec_id"].tolist())
+        pdf["layers"] = [[[j for j in layer if j in here] for layer in node] for node in pdf["layers"]]
+        return pdf[["shard", "vec_id", "embedding", "layers"]]
+
+    return left.groupBy("shard").applyInPandas(cut, GRAPH), missing
+
+
+def graph_statistics(graph: DataFrame) -> DataFrame:
+    """(layer, nodes, links, most): nodes and directed links of each layer, and the most of a node."""
+    rows = graph.select(F.posexplode("layers").alias("layer", "near"))
+    return rows.groupBy("layer").agg(F.count("*").alias("nodes"), F.sum(F.size("near")).cast("long").alias("links"), F.max(F.size("near")).alias("most"))
+
+
+def _entry(net: list) -> int | None:
+    """The node with the most layers, the first of those."""
+    return max(range(len(net)), key=lambda i: (len(net[i]), -i)) if net else None
+
+
+def _walk(x: np.ndarray, near, q: np.ndarray, ef: int, start: list[int]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Best-first search of a layer: the ef nearest that were met, their distances, and the steps (node, distance, action)."""
+    d = (1 - x[start] @ q).tolist()
+    seen = set(start)
+    todo = sorted(zip(d, start, strict=True))
     best = [(-v, i) for v, i in todo]
-    heapq.heapify(todo)
     heapq.heapify(best)
-    steps = [(i, v, "entry") for v, i in sorted(todo)]
+    steps = [(i, v, "entry") for v, i in todo]
     while todo:
         v, i = heapq.heappop(todo)
         if len(best) >= ef and v > -best[0][0]:
             steps.append((i, v, "stop"))
             break
         steps.append((i, v, "visit"))
-        fresh = [j for j in near[i] if j not in seen]
+        fresh = [j for j in near(i) if j not in seen]
         seen.update(fresh)
         for j, w in zip(fresh, (1 - x[fresh] @ q).tolist() if fresh else [], strict=True):
             if len(best) < ef or w < -best[0][0]:
@@ -271,35 +524,35 @@ def walk(x: np.ndarray, near: list[np.ndarray], q: np.ndarray, ef: int, entries:
     return np.array([i for _, i in best], int), np.array([v for v, _ in best]), steps
 
 
-def _searcher(block, k: int, ef: int, trace: bool):
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, m = block.value
-        pdf = pdf.sort_values("vec_id").reset_index(drop=True)
-        x, vec = _matrix(pdf["embedding"]), pdf["vec_id"].to_numpy()
-        near = [np.searchsorted(vec, v).tolist() for v in pdf["neighbours"]]
+def graph_knn(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, threshold: float | None = None, trace: bool = False) -> DataFrame:
+    """Search each shard's graph from its entry down to the lowest layer, then merge. The threshold comes after the candidates. With `trace`, the steps instead of results."""
+    count = (graph.agg(F.max("shard")).first()[0] or 0) + 1
+    schema = "query_id long, shard long, layer int, step int, vec_id long, distance double, action string" if trace else "query_id long, vec_id long, distance double"
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("shard"), F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+
+    def load(pdf: pd.DataFrame) -> tuple:
+        vec = pdf["vec_id"].to_numpy().astype(np.int64)
+        order = np.argsort(vec)
+        vec = vec[order]
+        net = [[np.searchsorted(vec, layer).tolist() if len(layer) else [] for layer in node] for node in pdf["layers"].to_numpy()[order]]
+        return _matrix(pdf["embedding"].iloc[order]), vec, net, _entry(net), int(pdf["shard"].iloc[0])
+
+    def ask(shard: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        x, vec, net, entry, number = shard
         rows = []
-        for qid, q in zip(ids.tolist(), m, strict=True):
-            at, d, steps = walk(x, near, q, max(ef, k))
-            if trace:
-                rows += [(qid, int(pdf["shard"][0]), s, int(vec[i]), round(float(v), PLACES), a) for s, (i, v, a) in enumerate(steps)]
-            else:
+        for qid, q in zip(asked["query_id"].astype(np.int64).tolist(), _matrix(asked["embedding"]), strict=True):
+            start, step = [entry], 0
+            for depth in range(len(net[entry]) - 1, -1, -1):
+                at, d, steps = _walk(x, lambda j, depth=depth: net[j][depth], q, max(ef, k) if depth == 0 else 1, start)
+                start = [int(at[0])]
+                if trace:
+                    rows += [(qid, number, depth, step + s, int(vec[i]), round(float(v), PLACES), a) for s, (i, v, a) in enumerate(steps)]
+                    step += len(steps)
+            if not trace:
                 rows += [(qid, int(vec[i]), round(float(v), PLACES) + 0.0) for i, v in zip(at, d, strict=True)]
-        names = ["query_id", "shard", "step", "vec_id", "distance", "action"] if trace else ["query_id", "vec_id", "distance"]
-        return pd.DataFrame(rows, columns=names)
-
-    return search
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-
-def graph_knn(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, threshold: float | None = None, trace: bool = False) -> DataFrame:
-    """Search each shard's graph, then merge. The threshold comes after the candidates. With `trace`, the steps instead of results."""
-    sc, found = graph.sparkSession.sparkContext, None
-    schema = "query_id long, shard long, step int, vec_id long, distance double, action string" if trace else "query_id long, vec_id long, distance double"
-    for ids, m in blocks(queries):
-        search = _searcher(sc.broadcast((ids, m)), k, ef, trace)
-        part = graph.groupBy("shard").applyInPandas(search, schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = graph.sparkSession.createDataFrame([], schema)
+    found = _dealt(graph, asked).mapInPandas(lambda batches: _by_shard(batches, load, ask), schema)
     return found if trace else ranked(found, k, threshold)
 
 

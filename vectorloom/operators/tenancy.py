@@ -45,12 +45,38 @@ def validated_keys(requests: DataFrame, tenants: DataFrame, as_of: Column) -> Da
     return met.select("request_id", F.when(valid, F.col("tenant_id")).alias("tenant_id"), valid.alias("valid"))
 
 
-def rotated(tenants: DataFrame, tenant_id: int, new_key: str) -> DataFrame:
-    return tenants.withColumn("key_hash", F.when(F.col("tenant_id") == tenant_id, key_hash(F.lit(new_key))).otherwise(F.col("key_hash")))
+def key_usage(requests: DataFrame, tenants: DataFrame, as_of: Column) -> DataFrame:
+    """(tenant_id, request_count, last_used_at) of the requests (api_key, ts) whose keys are valid."""
+    met = requests.withColumn("key_hash", key_hash(F.col("api_key"))).join(tenants, "key_hash")
+    valid = met.where(F.col("is_active") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
+    return valid.groupBy("tenant_id").agg(F.count("*").alias("request_count"), F.max("ts").alias("last_used_at"))
 
 
-def deactivated(tenants: DataFrame, tenant_id: int) -> DataFrame:
-    return tenants.withColumn("is_active", F.when(F.col("tenant_id") == tenant_id, False).otherwise(F.col("is_active")))
+def rotated(tenants: DataFrame, keys: DataFrame) -> DataFrame:
+    """The tenants of `keys` (tenant_id, new_key) get those; old keys no longer work."""
+    return tenants.join(keys, "tenant_id", "left").withColumn("key_hash", F.coalesce(key_hash(F.col("new_key")), F.col("key_hash"))).drop("new_key")
+
+
+def deactivated(tenants: DataFrame, ids: DataFrame) -> DataFrame:
+    """The tenants of `ids` (tenant_id) are no longer active."""
+    gone = ids.select("tenant_id", F.lit(True).alias("gone"))
+    return tenants.join(gone, "tenant_id", "left").withColumn("is_active", F.col("is_active") & F.col("gone").isNull()).drop("gone")
+
+
+TENANTS = "tenant_id long, key_hash string, is_active boolean, expires_at timestamp"
+
+
+def save_tenants(tenants: DataFrame, path: str) -> None:
+    tenants.write.mode("overwrite").json(path)
+
+
+def load_tenants(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TENANTS).json(path)
+
+
+def append_audit(events: DataFrame, path: str, floor: str = "info") -> None:
+    """Append audit events at or above a severity as JSON lines."""
+    audited(events, floor).write.mode("append").json(path)
 
 
 def severity_rank(severity: Column) -> Column:

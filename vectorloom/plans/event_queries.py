@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from vectorloom.functions.embed import hash_embedding
 from vectorloom.operators import retrieval, search, tenancy
+from vectorloom.sources.shared import fresh_path
 from vectorloom.streaming import events as E
 
 from .registry import query, table
@@ -39,10 +37,13 @@ SUBS = "subs(subscriber, event_type) AS (VALUES ('all', NULL), ('clicks', 'click
 SUB_ROWS = [("all", None), ("clicks", "click"), ("errors", "error"), ("both", "click"), ("both", "view")]
 
 
-@query(f"WITH {SUBS} SELECT subscriber, count(*) AS delivered FROM events e JOIN subs s ON s.event_type IS NULL OR s.event_type = e.event_type GROUP BY subscriber")
+@query(f"WITH {SUBS} SELECT subscriber, count(*) AS delivered, count(*) FILTER (event_id % 10 = 0) AS errors, count(*) FILTER (event_id % 10 = 1) AS pending FROM events e JOIN subs s ON s.event_type IS NULL OR s.event_type = e.event_type GROUP BY subscriber")
 def t2_bus_statistics(spark, sf_dir):
+    """What each subscriber was sent, what its handler failed on, and what it hasn't answered: of ten events one fails and one is open."""
     subs = spark.createDataFrame(SUB_ROWS, "subscriber string, event_type string")
-    return E.delivered(events(spark, sf_dir), subs).groupBy("subscriber").agg(F.count("*").alias("delivered"))
+    sent = E.delivered(events(spark, sf_dir), subs)
+    answers = sent.where("event_id % 10 <> 1").select("event_id", "subscriber", (F.col("event_id") % 10 != 0).alias("ok"))
+    return E.bus_statistics(sent, answers)
 
 
 @query("SELECT 'document_added' AS event_type, doc_id AS key, source AS corpus FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'corpus_created', NULL, source FROM documents GROUP BY source")
@@ -57,13 +58,23 @@ def t3_change_events(spark, sf_dir):
 
 @query("SELECT event_id, user_id % 10 AS corpus FROM events WHERE user_id % 10 = 3")
 def t4_corpus_stream(spark, sf_dir):
-    return events(spark, sf_dir).withColumn("corpus", F.col("user_id") % 10).where("corpus = 3").select("event_id", "corpus")
+    """A subscriber of one corpus: a stream over the events' files, filtered, each event once, in micro-batches."""
+    folder = fresh_path(spark, "corpus-stream")
+    stream = spark.readStream.schema(events(spark, sf_dir).schema).option("pathGlobFilter", "*.parquet").parquet(_files(sf_dir, "events"))
+    mine = E.deduplicated(stream.withColumn("corpus", F.col("user_id") % 10).where("corpus = 3"), "3650 days")
+    E.run_once(mine, lambda df, n: df.select("event_id", "corpus").write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint")
+    return spark.read.schema("event_id long, corpus long").parquet(f"{folder}/out")
+
+
+def _files(sf_dir: str, name: str) -> str:
+    """A table's path for a stream, which reads folders, or files by a pattern."""
+    return f"{sf_dir}/{name}[.]parquet"
 
 
-@query("SELECT c.c_custkey AS connection_id, count(*) AS messages FROM customer c JOIN events e ON e.user_id % 10 = c.c_custkey % 10 AND e.event_type = 'error' WHERE c.c_custkey <= 30 GROUP BY 1")
+@query("SELECT c.c_custkey AS connection_id, count(*) AS messages FROM customer c JOIN events e ON e.user_id % 10 = c.c_custkey % 10 AND e.event_type = 'error' GROUP BY 1")
 def t5_broadcast(spark, sf_dir):
     """Connections get the messages of the corpora that they watch."""
-    conn = table(spark, sf_dir, "customer").where("c_custkey <= 30").select(F.col("c_custkey").alias("connection_id"), (F.col("c_custkey") % 10).alias("corpus"))
+    conn = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("connection_id"), (F.col("c_custkey") % 10).alias("corpus"))
     sent = events(spark, sf_dir).where("event_type = 'error'").groupBy((F.col("user_id") % 10).alias("corpus")).agg(F.count("*").alias("messages"))
     return conn.join(sent, "corpus").select("connection_id", "messages")
 
@@ -105,9 +116,16 @@ def t11_webhook_delivery(spark, sf_dir):
     return E.success_rate(E.attempts(matched(spark, sf_dir), (F.col("event_id") + F.col("webhook_id")) % 5))
 
 
-@query()
+def _xor(c: str, byte: int) -> str:
+    return f"list_transform(range(64), lambda i: printf('%02x', xor(coalesce(('0x' || nullif(substr(hex(encode({c})), 2 * i + 1, 2), ''))::INT, 0), {byte})))"
+
+
+SIGNED = f"""p AS (SELECT event_id, '{{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}}' AS payload, 'secret-' || user_id % 4 AS secret FROM events WHERE event_type = 'purchase'),
+k AS (SELECT *, unhex(array_to_string({_xor('secret', 54)}, '')) AS inner_key, unhex(array_to_string({_xor('secret', 92)}, '')) AS outer_key FROM p)"""
+
+
+@query(f"WITH {SIGNED} SELECT event_id, 'sha256=' || sha256(outer_key || unhex(sha256(inner_key || encode(payload)))) AS signature FROM k")
 def t11_webhook_signature(spark, sf_dir):
-    """HMAC-SHA256 has no SQL function; a test holds it against the standard library."""
     e = events(spark, sf_dir).where("event_type = 'purchase'")
     return e.select("event_id", E.signature(F.to_json(F.struct("event_id", "event_type", "user_id")), F.concat(F.lit("secret-"), F.col("user_id") % 4)).alias("signature"))
 
@@ -116,7 +134,7 @@ def t11_webhook_signature(spark, sf_dir):
 def t12_rag_workflow(spark, sf_dir):
     """Questions, from the first turns of conversations, preprocessed and embedded; the nearest documents reranked by words and
     put together. Each step has its own query with SQL."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id < 20")
+    c = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 100 = 0")
     asked = c.select(F.col("conv_id").alias("query_id"), retrieval.preprocessed(F.col("text")).alias("query"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", hash_embedding(F.col("text")).alias("embedding"), (F.col("doc_id") % 10).alias("chunk_index"))
     found = search.knn(d, asked.select("query_id", hash_embedding(F.col("query")).alias("embedding")), 10)
@@ -142,10 +160,9 @@ def t15_page(spark, sf_dir):
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def t_windowed_stream(spark, sf_dir):
     """A stream over the events' file, aggregated by day in micro-batches, and read back."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectorloom-")
-    folder = f"{shared}/windowed-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "windowed")
     schema = events(spark, sf_dir).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_files(sf_dir, "events"))
     out = f"{folder}/out"
     E.run_once(E.windowed(stream, "1 day"), lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), f"{folder}/checkpoint", "update")
     found = spark.read.parquet(out)
@@ -158,11 +175,46 @@ TENANTS = "tenants AS (SELECT c_custkey AS tenant_id, sha256('key-' || c_custkey
 
 @query(f"WITH {TENANTS}, req AS (SELECT event_id AS request_id, 'key-' || (user_id * 7 % 2000) AS api_key FROM events) SELECT request_id, CASE WHEN coalesce(is_active AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-01'), false) THEN tenant_id END AS tenant_id, coalesce(is_active AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-01'), false) AS valid FROM req LEFT JOIN tenants ON key_hash = sha256(api_key)")
 def x1_validate_api_key(spark, sf_dir):
+    requests = events(spark, sf_dir).select(F.col("event_id").alias("request_id"), F.concat(F.lit("key-"), F.col("user_id") * 7 % 2000).alias("api_key"))
+    return tenancy.validated_keys(requests, _tenants(spark, sf_dir), F.lit("2024-02-01").cast("timestamp"))
+
+
+def _tenants(spark, sf_dir):
     n = F.col("c_custkey")
     day = F.timestamp_seconds(F.lit(1704067200) + n % 100 * 86400)
-    tenants = table(spark, sf_dir, "customer").select(n.alias("tenant_id"), tenancy.key_hash(F.concat(F.lit("key-"), n)).alias("key_hash"), (n % 5 != 0).alias("is_active"), F.when(n % 3 == 0, day).alias("expires_at"))
-    requests = events(spark, sf_dir).select(F.col("event_id").alias("request_id"), F.concat(F.lit("key-"), F.col("user_id") * 7 % 2000).alias("api_key"))
-    return tenancy.validated_keys(requests, tenants, F.lit("2024-02-01").cast("timestamp"))
+    return table(spark, sf_dir, "customer").select(n.alias("tenant_id"), tenancy.key_hash(F.concat(F.lit("key-"), n)).alias("key_hash"), (n % 5 != 0).alias("is_active"), F.when(n % 3 == 0, day).alias("expires_at"))
+
+
+@query(f"WITH {TENANTS}, req AS (SELECT 'key-' || (user_id * 7 % 2000) AS api_key, ts FROM events) SELECT tenant_id, count(*) AS request_count, max(ts) AS last_used_at FROM req JOIN tenants ON key_hash = sha256(api_key) WHERE is_active AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-01') GROUP BY tenant_id")
+def x1_key_usage(spark, sf_dir):
+    """Requests and last use of each valid key."""
+    requests = events(spark, sf_dir).select("ts", F.concat(F.lit("key-"), F.col("user_id") * 7 % 2000).alias("api_key"))
+    return tenancy.key_usage(requests, _tenants(spark, sf_dir), F.lit("2024-02-01").cast("timestamp"))
+
+
+@query(f"WITH {TENANTS} SELECT tenant_id, CASE WHEN tenant_id % 10 = 1 THEN sha256('new-' || tenant_id) ELSE key_hash END AS key_hash, is_active AND tenant_id % 10 <> 2 AS is_active FROM tenants")
+def x1_rotate_and_deactivate(spark, sf_dir):
+    """Of ten tenants one gets a new key and one is deactivated."""
+    t = _tenants(spark, sf_dir)
+    new = t.where("tenant_id % 10 = 1").select("tenant_id", F.concat(F.lit("new-"), "tenant_id").alias("new_key"))
+    return tenancy.deactivated(tenancy.rotated(t, new), t.where("tenant_id % 10 = 2").select("tenant_id")).select("tenant_id", "key_hash", "is_active")
+
+
+@query(f"WITH {TENANTS} SELECT tenant_id, is_active, expires_at FROM tenants")
+def s15_tenant_store(spark, sf_dir):
+    """Tenants written as JSON and read again."""
+    path = fresh_path(spark, "tenants")
+    tenancy.save_tenants(_tenants(spark, sf_dir), path)
+    return tenancy.load_tenants(spark, path).select("tenant_id", "is_active", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
+@query("SELECT event_id, severity FROM (SELECT event_id, ['debug', 'info', 'warning', 'error', 'critical'][event_id % 5 + 1] AS severity FROM events) WHERE severity IN ('error', 'critical')")
+def s16_audit_log(spark, sf_dir):
+    """Audit events at or above a severity, appended to a JSON log and read again."""
+    severity = F.element_at(F.array(*map(F.lit, tenancy.SEVERITIES)), (F.col("event_id") % 5 + 1).cast("int"))
+    path = fresh_path(spark, "audit")
+    tenancy.append_audit(events(spark, sf_dir).select("event_id", severity.alias("severity")), path, "error")
+    return spark.read.schema("event_id long, severity string").json(path)
 
 
 ROLES = "roles(role, scope) AS (VALUES " + ", ".join(f"('{r}', '{s}')" for r, ss in tenancy.ROLE_SCOPES.items() for s in ss) + ")"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators import fusion, search
+from vectorloom.sources.shared import written
 
 from .registry import query, table
 from .sql import query_vectors, results, results_sql
@@ -23,7 +24,7 @@ def fused_sql(score: str, extra: str = "", places: int = 6) -> str:
 
 
 def runs(spark, sf_dir):
-    r = results(spark, sf_dir, 30)
+    r = written(results(spark, sf_dir, 30), "results")  # three runs use it
     place = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1
     cut = lambda name, score, p: r.select(F.lit(name).alias("strategy"), "query_id", "vec_id", score.alias("score"), p.alias("place")).where("place < 15")
     return (
@@ -115,7 +116,9 @@ def f10_temperature_zero(spark, sf_dir):
     return fusion.temperature_sample(results(spark, sf_dir, 50), 10, 0.0).select("query_id", "vec_id", "distance", "rank")
 
 
-@query()
+@query(f"""WITH {results_sql(50)}, u AS (SELECT *, (('0x' || substr(md5('42:' || query_id || ':' || vec_id), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM results),
+drawn AS (SELECT query_id, vec_id, distance FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY -distance - ln(-ln(u)) DESC, vec_id) <= 10)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM drawn""")
 def f10_temperature_sampling(spark, sf_dir):
     """Seeded draws; tests hold their distribution."""
     return fusion.temperature_sample(results(spark, sf_dir, 50), 10, 1.0).select("query_id", "vec_id", "distance", "rank")

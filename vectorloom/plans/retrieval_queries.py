@@ -9,7 +9,7 @@ from vectorloom.operators import retrieval as R
 from vectorloom.operators import search
 
 from .registry import query, table
-from .sql import AS_OF, N_QUERIES, chunks, query_vectors, results, results_sql
+from .sql import AS_OF, EVERY, query_vectors, results, results_sql
 
 AGE = f"floor((epoch(TIMESTAMP '{AS_OF}') - epoch(created_at)) / 86400)"
 RECENCY = f"least(1.0, pow(2.0, -{AGE} / 30.0))"
@@ -37,11 +37,11 @@ p AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, sum(CASE WH
 n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM p GROUP BY id)"""
 
 
-@query(f"WITH d AS (SELECT doc_id, text FROM documents), {hashed_sql('d', 'doc_id')}, e AS (SELECT id, pos, v / norm AS v FROM p JOIN n USING (id) WHERE norm > 0), s AS (SELECT q.id AS query_id, c.id AS vec_id, round(1 - sum(q.v * c.v), 6) + 0.0 AS distance FROM e q JOIN e c USING (pos) WHERE q.id < 5 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s) WHERE rank <= 5")
+@query(f"WITH d AS (SELECT doc_id, text FROM documents), {hashed_sql('d', 'doc_id')}, e AS (SELECT id, pos, v / norm AS v FROM p JOIN n USING (id) WHERE norm > 0), s AS (SELECT q.id AS query_id, c.id AS vec_id, round(1 - sum(q.v * c.v), 6) + 0.0 AS distance FROM e q JOIN e c USING (pos) WHERE q.id % {EVERY} = 0 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s) WHERE rank <= 5")
 def q2_search_with_text(spark, sf_dir):
     """Texts and queries embedded by hashed words; texts without words are left out."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), hash_embedding(F.col("text")).alias("embedding")).where(F.exists("embedding", lambda x: x != 0))
-    return search.knn(d, query_vectors(d, 5), 5)
+    return search.knn(d, query_vectors(d), 5)
 
 
 @query(f"WITH {results_sql(100)}, scored AS (SELECT *, rank AS old_rank FROM results WHERE label >= 3 AND lang = 'en') SELECT query_id, vec_id, distance, {best(10, 'old_rank').replace(' FROM scored', ' FROM (SELECT * EXCLUDE (rank) FROM scored)')}")
@@ -127,9 +127,9 @@ def q13_result_projection(spark, sf_dir):
     return results(spark, sf_dir, 10).select("query_id", "rank", F.col("vec_id").alias("chunk_id"), F.concat(F.lit("doc-"), "vec_id").alias("document_id"), F.col("source").alias("title"), "text", "distance")
 
 
-@query(f"WITH {results_sql(10)}, q AS (SELECT doc_id AS query_id, substr(text, 1, 200) AS query FROM documents), m AS (SELECT r.*, {WORDS.format('query')} AS qw, {WORDS.format('text')} AS tw FROM results r JOIN q USING (query_id)), scored AS (SELECT * EXCLUDE (rank), rank AS old_rank, round(0.4 * (1 - distance / 2) + 0.4 * (len(list_intersect(qw, tw)) / greatest(len(qw), 1)) + 0.2 / (chunk_index + 1), 6) AS score FROM m) SELECT query_id, vec_id, score, {best(5)}")
+@query(f"WITH {results_sql(10)}, q AS (SELECT doc_id AS query_id, text AS query FROM documents), m AS (SELECT r.*, {WORDS.format('query')} AS qw, {WORDS.format('text')} AS tw FROM results r JOIN q USING (query_id)), scored AS (SELECT * EXCLUDE (rank), rank AS old_rank, round(0.4 * (1 - distance / 2) + 0.4 * (len(list_intersect(qw, tw)) / greatest(len(qw), 1)) + 0.2 / (chunk_index + 1), 6) AS score FROM m) SELECT query_id, vec_id, score, {best(5)}")
 def q14_keyword_rerank(spark, sf_dir):
-    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query"))
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return _scored(R.keyword_rerank(results(spark, sf_dir, 10).join(q, "query_id"), F.col("query"), 5))
 
 

@@ -8,9 +8,11 @@ from vectorloom.operators import search
 from vectorloom.operators import vectors as ops
 
 from .registry import query, table
-from .sql import N_QUERIES, query_vectors, results_sql
+from .sql import EVERY, query_vectors, results_sql, unit
 
-DIM, CENTROIDS = 64, 16
+DIM, CENTROIDS, PROBES = 64, 16, 13
+#: Planes of the registered hyperplane search, rounded so that the SQL is short.
+TABLES, BITS = 64, 6
 KNN = results_sql(10, "units")
 #: Inverted lists around fixed centroids, the first vectors, so that SQL finds the same lists.
 LISTS = f"""{KNN.split('pairs AS')[0]}
@@ -38,59 +40,89 @@ def i1_knn_threshold(spark, sf_dir):
     return search.knn(e, query_vectors(e), 10, 0.7)
 
 
-@query(f"WITH {KNN} SELECT vec_id, distance FROM results WHERE query_id = 3")
+@query(f"WITH {KNN} SELECT vec_id, distance FROM results WHERE query_id = 100")
 def i1_knn_single(spark, sf_dir):
     e = vectors(spark, sf_dir)
-    return search.knn_one(e, e.where("vec_id = 3").select("embedding").first()[0], 10)
+    return search.knn_one(e, e.where("vec_id = 100").select("embedding").first()[0], 10)
 
 
 @query(f"WITH {KNN} SELECT query_id, vec_id, distance, rank FROM results")
 def i2_kd_tree(spark, sf_dir):
-    """Space partitioning prunes nothing at such dimensions: the exact scan under its name."""
-    return i1_knn_exact(spark, sf_dir)
+    """Exact through boxes; at such dimensions, with vectors that are nearly random, they prune little."""
+    e = vectors(spark, sf_dir)
+    return search.tree_knn(search.box_tree(e), query_vectors(e), 10)
+
+
+@query("SELECT count(*) AS vectors FROM embeddings")
+def i2_tree_statistics(spark, sf_dir):
+    """A tree of small leaves holds every vector once."""
+    return search.boxes(search.box_tree(vectors(spark, sf_dir), 64)).agg(F.sum("n").alias("vectors"))
 
 
 def _normals():
-    return search.planes(DIM, 10, 10)
+    return search.planes(DIM, TABLES, BITS).round(3)
 
 
-def _planes_sql(tables: int = 10, bits: int = 10) -> str:
+def _planes_sql() -> str:
     """The planes as literal rows, so that SQL sees the same."""
-    n = search.planes(DIM, tables, bits)
+    tables, bits, n = TABLES, BITS, _normals()
     rows = ", ".join(f"({t}, {b}, [{', '.join(repr(float(x)) for x in n[t, b])}])" for t in range(tables) for b in range(bits))
     return f"planes(t, b, w) AS (VALUES {rows})"
 
 
-CODES = f"{_planes_sql()}, {KNN.split('pairs AS')[0]} codes AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(u, w) > 0 THEN 1 << (9 - b) ELSE 0 END)::BIGINT AS code FROM units, planes GROUP BY vec_id, t)"
+CODES = f"{_planes_sql()}, {KNN.split('pairs AS')[0]} codes AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(u, w) > 0 THEN 1 << ({BITS - 1} - b) ELSE 0 END)::BIGINT AS code FROM units, planes GROUP BY vec_id, t)"
 
 
-@query(f"WITH {CODES}, met AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id FROM codes q JOIN codes c USING (t, code) WHERE q.vec_id < {N_QUERIES}), d AS (SELECT query_id, m.vec_id, round(1 - list_dot_product(a.u, b.u), 6) + 0.0 AS distance FROM met m JOIN units a ON a.vec_id = query_id JOIN units b ON b.vec_id = m.vec_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10")
+@query(f"WITH {CODES}, met AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id FROM codes q JOIN codes c USING (t, code) WHERE q.vec_id % {EVERY} = 0), d AS (SELECT query_id, m.vec_id, round(1 - list_dot_product(a.u, b.u), 6) + 0.0 AS distance FROM met m JOIN units a ON a.vec_id = query_id JOIN units b ON b.vec_id = m.vec_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10")
 def i3_lsh_knn(spark, sf_dir):
     e = vectors(spark, sf_dir)
     return search.lsh_knn(e, query_vectors(e), _normals(), 10)
 
 
+@query()
+def i3_lsh_tuned(spark, sf_dir):
+    """Bits by the number of vectors, and as many tables as reach a recall of 0.9: that number is measured, so there is no SQL."""
+    e = vectors(spark, sf_dir)
+    return search.lsh_knn(e, query_vectors(e), search.tuned_planes(e, query_vectors(e)), 10)
+
+
 @query()
 def i4_graph_knn(spark, sf_dir):
-    """Graph search is approximate; tests hold its recall against the exact scan."""
+    """Graph search is approximate; `i4_graph_recall` and tests hold it against the exact scan."""
     e = vectors(spark, sf_dir)
     return search.graph_knn(search.build_graph(e), query_vectors(e), 10)
 
 
-@query(f"WITH {LISTS}, met AS (SELECT q.vec_id AS query_id, c.vec_id FROM near q JOIN near c ON c.cluster = q.cluster AND c.n = 1 WHERE q.n <= 4 AND q.vec_id < {N_QUERIES}), d AS (SELECT query_id, m.vec_id, round(1 - list_dot_product(a.u, b.u), 6) + 0.0 AS distance FROM met m JOIN units a ON a.vec_id = query_id JOIN units b ON b.vec_id = m.vec_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10")
+@query("SELECT true AS enough, least(count(*), 10) * (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS total FROM embeddings")
+def i4_graph_recall(spark, sf_dir):
+    """Whether the graph search reaches a recall of 0.9 on all queries."""
+    e = vectors(spark, sf_dir)
+    r = search.recall(search.graph_knn(search.build_graph(e), query_vectors(e), 10), search.knn(e, query_vectors(e), 10))
+    return r.select((F.col("recall") >= 0.9).alias("enough"), "total")
+
+
+@query(f"WITH {LISTS}, met AS (SELECT q.vec_id AS query_id, c.vec_id FROM near q JOIN near c ON c.cluster = q.cluster AND c.n = 1 WHERE q.n <= {PROBES} AND q.vec_id % {EVERY} = 0), d AS (SELECT query_id, m.vec_id, round(1 - list_dot_product(a.u, b.u), 6) + 0.0 AS distance FROM met m JOIN units a ON a.vec_id = query_id JOIN units b ON b.vec_id = m.vec_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10")
 def i5_ivf_knn(spark, sf_dir):
     e = vectors(spark, sf_dir)
-    return search.ivf_knn(e, query_vectors(e), fixed_centroids(e), 10, 4)
+    return search.ivf_knn(e, query_vectors(e), fixed_centroids(e), 10, PROBES)
 
 
 @query()
 def i5_ivf_trained(spark, sf_dir):
     """With trained centroids, and as many probes as reach a recall of 0.9; k-means differs between engines."""
     e = vectors(spark, sf_dir)
-    c = search.ivf_centroids(e, 32)
+    c = search.ivf_centroids(e, search.lists_for(e.count()))
     return search.ivf_knn(e, query_vectors(e), c, 10, search.tuned_probes(e, query_vectors(e), c))
 
 
+@query()
+def i5_ivf_quantized(spark, sf_dir):
+    """Lists scanned in product-quantized form, the best 100 ranked exactly."""
+    e = vectors(spark, sf_dir)
+    c = search.ivf_centroids(e, search.lists_for(e.count()))
+    return search.ivf_knn(e, query_vectors(e), c, 10, len(c), codebooks=search.pq_codebooks(e))
+
+
 @query(f"WITH {KNN.replace('FROM embeddings)', 'FROM (SELECT * FROM embeddings WHERE vec_id % 5 <> 4 UNION ALL SELECT vec_id + 1000000000, embedding, label FROM embeddings WHERE vec_id % 5 = 4))')} SELECT query_id, vec_id, distance, rank FROM results")
 def i6_add_and_remove(spark, sf_dir):
     """Remove every fifth vector, then add it under another id."""
@@ -100,18 +132,35 @@ def i6_add_and_remove(spark, sf_dir):
     return search.knn(now, query_vectors(now), 10)
 
 
-@query("SELECT count(*) * 10 AS entries, 10 AS tables FROM embeddings")
+@query(f"SELECT count(*) * {TABLES} AS entries, {TABLES} AS tables FROM embeddings")
 def i7_rebuild_lsh(spark, sf_dir):
     """A rebuild draws new planes and indexes every vector again."""
-    b = search.buckets(vectors(spark, sf_dir), search.planes(DIM, 10, 10, seed=43), "vec_id")
+    b = search.buckets(vectors(spark, sf_dir), search.planes(DIM, TABLES, BITS, seed=43), "vec_id")
     return b.agg(F.count("*").alias("entries"), F.countDistinct("table").alias("tables"))
 
 
+@query("SELECT count(*) FILTER (vec_id % 5 <> 0) AS size, count(*) FILTER (vec_id % 5 = 0) AS removed, count(*) FILTER (vec_id % 5 = 0) AS missing FROM embeddings")
+def i6_graph_changes(spark, sf_dir):
+    """A graph of four fifths; the last fifth is added by searching it; then another fifth, and as many unknown ids, are removed."""
+    e = vectors(spark, sf_dir)
+    graph = search.add_to_graph(search.build_graph(e.where("vec_id % 5 <> 4")), e.where("vec_id % 5 = 4"))
+    gone = e.where("vec_id % 5 = 0").select("vec_id")
+    left, missing = search.remove_from_graph(graph, gone.union(gone.select(-F.col("vec_id") - 1)))
+    n = lambda df, name: df.select(*[F.lit(int(c == name)).alias(c) for c in ("size", "removed", "missing")])
+    return n(left, "size").union(n(gone, "removed")).union(n(missing, "missing")).agg(*[F.sum(c).alias(c) for c in ("size", "removed", "missing")])
+
+
 @query("SELECT count(*) AS size, 'hnsw' AS index_type, true AS incremental FROM embeddings")
 def i8_index_size(spark, sf_dir):
     return search.build_graph(vectors(spark, sf_dir)).agg(F.count("*").alias("size")).withColumn("index_type", F.lit("hnsw")).withColumn("incremental", F.lit(True))
 
 
+@query()
+def i9_graph_statistics(spark, sf_dir):
+    """Nodes, links and the most links of a node, by layer; which nodes are on a layer follows from a hash that SQL lacks."""
+    return search.graph_statistics(search.build_graph(vectors(spark, sf_dir)))
+
+
 @query(f"WITH {CODES}, g AS (SELECT t, code, count(*) AS n FROM codes GROUP BY t, code) SELECT t AS \"table\", count(*) AS buckets, round(avg(n), 2) AS avg_size FROM g GROUP BY t")
 def i9_lsh_statistics(spark, sf_dir):
     b = search.buckets(vectors(spark, sf_dir), _normals(), "vec_id").groupBy("table", "bucket").count()
@@ -125,12 +174,6 @@ def i9_ivf_statistics(spark, sf_dir):
     return g.agg(F.count("*").alias("lists"), F.round(F.avg("count"), 2).alias("avg_size"), F.min("count").alias("min_size"), F.max("count").alias("max_size"))
 
 
-@query("SELECT 'brute_force' AS old_type, 'ivf' AS new_type, count(*) AS vectors FROM embeddings")
-def i10_switch_index(spark, sf_dir):
-    e = vectors(spark, sf_dir)
-    return search.assigned(e, fixed_centroids(e), "vec_id").agg(F.lit("brute_force").alias("old_type"), F.lit("ivf").alias("new_type"), F.count("*").alias("vectors"))
-
-
 @query("WITH r AS (SELECT embedding FROM embeddings UNION ALL SELECT embedding FROM embeddings WHERE vec_id % 3 = 0) SELECT (SELECT count(*) FROM r) AS before, count(*) AS after, ((SELECT count(*) FROM r) - count(*)) * 100 AS memory_freed FROM (SELECT DISTINCT list_transform(embedding, lambda x: round(x::DOUBLE, 6) + 0.0) AS e FROM r)")
 def i11_optimize(spark, sf_dir):
     """Compaction keeps one of equal vectors."""
@@ -139,13 +182,24 @@ def i11_optimize(spark, sf_dir):
     return d.agg(F.sum("refs").alias("before"), F.count("*").alias("after")).withColumn("memory_freed", (F.col("before") - F.col("after")) * 100)
 
 
-@query(f"WITH {LISTS} SELECT cluster, count(*) AS n FROM near WHERE n = 1 GROUP BY cluster")
+@query(f"""WITH {LISTS}, x AS (SELECT cluster, unnest(range({DIM})) AS i, unnest(u) AS x FROM near JOIN units USING (vec_id) WHERE n = 1),
+m AS (SELECT cluster, list(x ORDER BY i) AS embedding FROM (SELECT cluster, i, avg(x) AS x FROM x GROUP BY ALL) GROUP BY cluster), c AS (SELECT cluster, {unit('embedding')} AS w FROM m),
+again AS (SELECT vec_id, cluster, row_number() OVER (PARTITION BY vec_id ORDER BY round(-list_dot_product(u, w), 12), cluster) AS n FROM units, c) SELECT cluster, count(*) AS n FROM again WHERE n = 1 GROUP BY cluster""")
 def i12_ivf_reassign(spark, sf_dir):
+    """After a first assignment the centroids move to their lists' means, and every vector is assigned again."""
     e = vectors(spark, sf_dir)
-    return search.assigned(e, fixed_centroids(e), "vec_id").groupBy("cluster").agg(F.count("*").alias("n"))
-
-
-@query()
+    means = search.recentred(e, search.assigned(e, fixed_centroids(e), "vec_id")).orderBy("cluster").collect()  # one row a centroid
+    again = search.assigned(e, search.np.array([r["embedding"] for r in means]), "vec_id")
+    names = F.array(*[F.lit(r["cluster"]) for r in means])
+    return again.select(F.get(names, F.col("cluster").cast("int")).alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {KNN.split('pairs AS')[0]} lim AS (SELECT i, min(x) AS lo, CASE WHEN max(x) - min(x) < 1e-8 THEN min(x) + 1e-6 ELSE max(x) END AS hi FROM (SELECT unnest(range({DIM})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i),
+back AS (SELECT vec_id, i, floor(least(greatest((x - lo) / (hi - lo) * 255, 0), 255)) / 255 * (hi - lo) + lo AS x FROM (SELECT vec_id, unnest(range({DIM})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) JOIN lim USING (i)),
+rough AS (SELECT vec_id, {unit('embedding')} AS r FROM (SELECT vec_id, list(x ORDER BY i) AS embedding FROM back GROUP BY vec_id)),
+pool AS (SELECT q.vec_id AS query_id, c.vec_id FROM units q, rough c WHERE q.vec_id % {EVERY} = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.u, c.r), 6) + 0.0, c.vec_id) <= 50),
+d AS (SELECT query_id, p.vec_id, round(1 - list_dot_product(a.u, b.u), 6) + 0.0 AS distance FROM pool p JOIN units a ON a.vec_id = query_id JOIN units b ON b.vec_id = p.vec_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10""")
 def two_phase_quantized_search(spark, sf_dir):
     """Search 8-bit vectors for 50 candidates, then rank those exactly."""
     e = vectors(spark, sf_dir)

@@ -10,7 +10,8 @@ from vectorloom.operators import search
 from .registry import table
 
 AS_OF = "2024-03-01"
-N_QUERIES = 20
+#: The queries of a search: every row whose id is divisible by this.
+EVERY = 100
 
 
 def dot(a: str, b: str) -> str:
@@ -30,11 +31,11 @@ CHUNKS = f"""chunks AS (SELECT e.vec_id, e.embedding, e.label, e.vec_id % 10 AS
   d.text, d.lang, d.source, d.n_chars, {unit('e.embedding')} AS u FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
 
 
-def results_sql(k: int, of: str = "chunks", n: int = N_QUERIES) -> str:
+def results_sql(k: int, of: str = "chunks") -> str:
     """CTEs ending in results(query_id, vec_id, distance, rank, ...)."""
     start = CHUNKS if of == "chunks" else UNITS
     return f"""{start},
-pairs AS (SELECT q.vec_id AS query_id, c.*, round(1 - list_dot_product(q.u, c.u), 6) + 0.0 AS distance FROM {of} q, {of} c WHERE q.vec_id < {n}),
+pairs AS (SELECT q.vec_id AS query_id, c.*, round(1 - list_dot_product(q.u, c.u), 6) + 0.0 AS distance FROM {of} q, {of} c WHERE q.vec_id % {EVERY} = 0),
 results AS (SELECT * EXCLUDE (embedding, u) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= {k})"""
 
 
@@ -44,11 +45,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(d, e["vec_id"] == d["doc_id"]).select("vec_id", "embedding", "label", (F.col("vec_id") % 10).alias("chunk_index"), created.alias("created_at"), "text", "lang", "source", "n_chars")
 
 
-def query_vectors(vectors: DataFrame, n: int = N_QUERIES) -> DataFrame:
-    return vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+def query_vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def results(spark: SparkSession, sf_dir: str, k: int, n: int = N_QUERIES) -> DataFrame:
-    """The exact neighbours of the first vectors, with their chunks' columns."""
+def results(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The exact neighbours of the query vectors, with their chunks' columns."""
     c = chunks(spark, sf_dir)
-    return search.knn(c, query_vectors(c, n), k).join(c.drop("embedding"), "vec_id")
+    return search.knn(c, query_vectors(c), k).join(c.drop("embedding"), "vec_id")

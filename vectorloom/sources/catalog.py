@@ -1,169 +1,189 @@
-"""Corpora, documents and chunks as versioned Parquet tables, with an operation log, NDJSON ingestion and JSON export.
+"""Corpora, documents and chunks as Parquet tables that only grow, with an operation log, NDJSON ingestion and JSON export.
 
-A table's versions are folders; the newest complete one (it has Spark's _SUCCESS mark) is current, so a reader never sees
-half a write and a lost job leaves the version before in place. Paths are Hadoop paths: any store that Spark reads.
+A change writes its rows under a commit number of its own and then one line to the log, which is the manifest: rows whose
+commit has no line are not read, so a reader never sees half a change, in one table or in several. Deletions are rows of
+ids that hide what was written before; nothing is rewritten until `compact`. Any commit can be read again. One writer at
+a time; paths are Hadoop paths, any store that Spark reads.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions import vectors as V
 
+from .shared import written
+
 INDEX_TYPES = ("brute_force", "kd_tree", "lsh", "hnsw", "ivf")
 CORPORA = "corpus_id string, name string, description string, created_at timestamp, index_type string, embedding_dimension int, embedding_model string"
 DOCUMENTS = "document_id string, corpus_id string, title string, author string, document_type string, source_url string, tags array<string>, created_at timestamp"
 CHUNKS = "chunk_id string, document_id string, chunk_index int, page_number int, created_at timestamp, text string, embedding array<float>"
-LOG = "operation string, key string, data string, ts timestamp"
+GONE = "kind string, id string"
+LOG = "commit long, operation string, key string, data string, ts timestamp"
 MOST_CHARS, MOST_CHUNKS = 10_000, 1_000
 
 
-class Versioned:
-    """A table as numbered versions under a folder; the newest `keep` stay."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 5):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
-        jvm = spark._jvm
-        self._hadoop = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        """Complete versions, oldest first."""
-        if not self._fs.exists(self._hadoop(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(self.path))]
-        found = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
-        return sorted(v for v in found if self._fs.exists(self._hadoop(f"{self.path}/v{v:08d}/_SUCCESS")))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """The newest version, or a given one; an empty table before the first."""
-        v = self.versions()
-        if version is not None and version not in v:
-            raise ValueError(f"no version {version}")
-        if not v:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{(v[-1] if version is None else version):08d}")
-
-    def write(self, df: DataFrame) -> int:
-        """Write the next version, and drop the oldest beyond `keep`."""
-        v = self.versions()
-        n = v[-1] + 1 if v else 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{n:08d}")
-        for old in [*v, n][: -self.keep]:
-            self.delete(old)
-        return n
-
-    def delete(self, version: int) -> bool:
-        return self._fs.delete(self._hadoop(f"{self.path}/v{version:08d}"), True)
-
-
 class Catalog:
-    """Corpora and what is in them. Every change appends to the operation log and makes a version."""
+    """Corpora and what is in them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.corpora = Versioned(spark, f"{self.path}/corpora", CORPORA)
-        self.documents = Versioned(spark, f"{self.path}/documents", DOCUMENTS)
-        self.chunks = Versioned(spark, f"{self.path}/chunks", CHUNKS)
 
-    def log(self, operation: str, rows: DataFrame) -> None:
-        """Append (key, data) rows to the log, JSON lines."""
-        rows.select(F.lit(operation).alias("operation"), F.col("key").cast("string"), "data", F.current_timestamp().alias("ts")).write.mode("append").json(f"{self.path}/log")
+    # ---- commits ----
 
     def operations(self) -> DataFrame:
-        return read_log(self.spark, f"{self.path}/log")
+        try:
+            return read_log(self.spark, f"{self.path}/log")
+        except AnalysisException:
+            return self.spark.createDataFrame([], LOG + ", _corrupt_record string")
+
+    def last_commit(self) -> int:
+        return self.operations().agg(F.coalesce(F.max("commit"), F.lit(0).cast("long"))).first()[0]
+
+    def commit(self, operation: str, tables: dict[str, DataFrame], keys: DataFrame | None = None) -> int:
+        """Write the tables' rows, then the log's lines of (key, data), all under the next number."""
+        n = self.last_commit() + 1
+        for name, df in tables.items():  # a lost job may have left rows of this number
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}/commit={n}")
+        none = F.lit(None).cast("string")
+        lines = self.spark.range(1).select(none.alias("key"), none.alias("data")) if keys is None else keys.select(F.col("key").cast("string"), "data")
+        lines.coalesce(1).select(F.lit(n).alias("commit"), F.lit(operation).alias("operation"), "key", "data", F.current_timestamp().alias("ts")).write.mode("append").json(f"{self.path}/log")
+        return n
 
-    def create_corpus(self, name: str, dimension: int, description: str | None = None, index_type: str = "brute_force", model: str | None = None) -> str:
-        if index_type not in INDEX_TYPES:
-            raise ValueError(f"unknown index type: {index_type}")
-        if not 1 <= len(name) <= 255 or not 1 <= dimension <= 4096:
-            raise ValueError("name or dimension out of range")
-        key = str(uuid.uuid4())
-        row = self.spark.createDataFrame([(key, name, description, index_type, dimension, model)], "corpus_id string, name string, description string, index_type string, embedding_dimension int, embedding_model string")
-        self.corpora.write(self.corpora.read().unionByName(row.withColumn("created_at", F.current_timestamp())))
-        self.log("create_corpus", row.select(F.col("corpus_id").alias("key"), F.to_json(F.struct("*")).alias("data")))
-        return key
+    def _rows(self, name: str, schema: str, as_of: int | None) -> DataFrame:
+        """All rows of a table with their commit, from the last compaction on and up to a commit."""
+        spec = f"{schema}, commit long"
+        try:
+            rows = self.spark.read.schema(spec).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], spec)
+        log = self.operations().where("commit is not null")
+        log = log if as_of is None else log.where(F.col("commit") <= as_of)
+        base = log.agg(F.coalesce(F.max(F.when(F.col("operation") == "compact", F.col("commit"))), F.lit(0).cast("long"))).first()[0]
+        return rows.join(F.broadcast(log.where(F.col("commit") >= base).select("commit").distinct()), "commit", "left_semi").select(*[f.name for f in rows.schema.fields])
+
+    def _live(self, name: str, schema: str, kind: str, as_of: int | None) -> DataFrame:
+        rows, gone = self._rows(name, schema, as_of), self._rows("gone", GONE, as_of).where(F.col("kind") == kind)
+        later = gone.groupBy(F.col("id").alias("gone_id")).agg(F.max("commit").alias("gone_at"))
+        return rows.join(later, (F.col(f"{kind}_id") == F.col("gone_id")) & (F.col("gone_at") > F.col("commit")), "left_anti")
+
+    # ---- reads ----
+
+    def corpora(self, as_of: int | None = None) -> DataFrame:
+        rows = self._live("corpora", CORPORA, "corpus", as_of)
+        newest = rows.withColumn("n", F.row_number().over(Window.partitionBy("corpus_id").orderBy(F.desc("commit")))).where("n = 1")
+        return newest.drop("n", "commit")
+
+    def documents(self, as_of: int | None = None) -> DataFrame:
+        rows = self._live("documents", DOCUMENTS, "document", as_of)
+        return rows.join(self.corpora(as_of).select("corpus_id"), "corpus_id", "left_semi").select(*[c for c in rows.columns if c != "commit"])
+
+    def chunks(self, as_of: int | None = None) -> DataFrame:
+        rows = self._live("chunks", CHUNKS, "document", as_of)
+        return rows.join(self.documents(as_of).select("document_id"), "document_id", "left_semi").select(*[c for c in rows.columns if c != "commit"])
+
+    def get_document(self, document_id: str) -> DataFrame:
+        """The document with its chunks in order; no row if there is none."""
+        docs = self.documents().where(F.col("document_id") == document_id)
+        return exported(docs, self.chunks().where(F.col("document_id") == document_id))
 
     def list_corpora(self) -> DataFrame:
         """Corpora with their number of documents."""
-        n = self.documents.read().groupBy("corpus_id").agg(F.count("*").alias("num_documents"))
-        return self.corpora.read().join(n, "corpus_id", "left").withColumn("num_documents", F.coalesce("num_documents", F.lit(0).cast("long")))
+        n = self.documents().groupBy("corpus_id").agg(F.count("*").alias("num_documents"))
+        return self.corpora().join(n, "corpus_id", "left").withColumn("num_documents", F.coalesce("num_documents", F.lit(0).cast("long")))
+
+    # ---- changes ----
+
+    def create_corpora(self, rows: DataFrame) -> DataFrame:
+        """Create corpora from (name, embedding_dimension) and, if there, description, index_type, embedding_model: one commit. Returns
+        (name, corpus_id); a row out of range or of an unknown index type refuses all."""
+        have = lambda c, kind, other=None: (F.coalesce(F.col(c), F.lit(other)) if c in rows.columns else F.lit(other)).cast(kind).alias(c)
+        new = rows.select(F.expr("uuid()").alias("corpus_id"), "name", have("description", "string"), F.current_timestamp().alias("created_at"), have("index_type", "string", "brute_force"), F.col("embedding_dimension").cast("int"), have("embedding_model", "string"))
+        good = F.length("name").between(1, 255) & F.col("embedding_dimension").between(1, 4096) & F.col("index_type").isin(*INDEX_TYPES)
+        bad = new.where(~F.coalesce(good, F.lit(False))).first()
+        if bad is not None:
+            raise ValueError(f"unknown index type, or name or dimension out of range: {bad['name']}, {bad['index_type']}, {bad['embedding_dimension']}")
+        n = self.commit("create_corpus", {"corpora": new})
+        return self._rows("corpora", CORPORA, n).where(F.col("commit") == n).select("name", "corpus_id")
+
+    def create_corpus(self, name: str, dimension: int, description: str | None = None, index_type: str = "brute_force", model: str | None = None) -> str:
+        row = self.spark.createDataFrame([(name, dimension, description, index_type, model)], "name string, embedding_dimension int, description string, index_type string, embedding_model string")
+        return self.create_corpora(row).first()["corpus_id"]
 
     def delete_corpus(self, corpus_id: str) -> bool:
-        corpora = self.corpora.read()
-        gone = corpora.where(F.col("corpus_id") == corpus_id)
+        """Its documents and chunks go with it."""
+        gone = self.corpora().where(F.col("corpus_id") == corpus_id)
         if gone.isEmpty():
             return False
-        docs = self.documents.read()
-        mine = docs.where(F.col("corpus_id") == corpus_id).select("document_id")
-        self.chunks.write(self.chunks.read().join(mine, "document_id", "left_anti"))
-        self.documents.write(docs.where(F.col("corpus_id") != corpus_id))
-        self.corpora.write(corpora.where(F.col("corpus_id") != corpus_id))
-        self.log("delete_corpus", gone.select(F.col("corpus_id").alias("key"), F.lit(None).cast("string").alias("data")))
+        one = self.spark.createDataFrame([("corpus", corpus_id)], GONE)
+        self.commit("delete_corpus", {"gone": one}, one.select(F.col("id").alias("key"), F.lit(None).cast("string").alias("data")))
         return True
 
     def set_index(self, corpus_id: str, index_type: str) -> tuple[str, str, int]:
         """Switch a corpus's index type: old, new and the number of vectors to be indexed anew."""
         if index_type not in INDEX_TYPES:
             raise ValueError(f"unknown index type: {index_type}")
-        corpora = self.corpora.read()
-        old = corpora.where(F.col("corpus_id") == corpus_id).select("index_type").first()
+        mine = self.corpora().where(F.col("corpus_id") == corpus_id)
+        old = mine.select("index_type").first()
         if old is None:
             raise ValueError(f"no corpus {corpus_id}")
-        mine = self.documents.read().where(F.col("corpus_id") == corpus_id).select("document_id")
-        n = self.chunks.read().join(mine, "document_id", "left_semi").count()
-        self.corpora.write(corpora.withColumn("index_type", F.when(F.col("corpus_id") == corpus_id, index_type).otherwise(F.col("index_type"))))
-        self.log("rebuild_index", self.spark.createDataFrame([(corpus_id, index_type)], "key string, data string"))
+        n = self.chunks().join(self.documents().where(F.col("corpus_id") == corpus_id).select("document_id"), "document_id", "left_semi").count()
+        line = self.spark.createDataFrame([(corpus_id, index_type)], "key string, data string")
+        self.commit("rebuild_index", {"corpora": mine.withColumn("index_type", F.lit(index_type))}, line)
         return old[0], index_type, n
 
-    def add_documents(self, corpus_id: str, batch: DataFrame, embed: Callable[[Column], Column] | None = None) -> tuple[int, DataFrame]:
-        """Add (idx, document_id, title, author, document_type, source_url, tags, chunks: array of (text, embedding)). Documents are added
-        or refused one by one: the number of chunks that were added, and (idx, error) of those refused."""
-        corpus = self.corpora.read().where(F.col("corpus_id") == corpus_id).first()
-        if corpus is None:
-            raise ValueError(f"no corpus {corpus_id}")
-        good, bad = checked_batch(batch, corpus["embedding_dimension"], embed)
+    def add_documents(self, corpus_id: str | None, batch: DataFrame, embed: Callable[[Column], Column] | None = None) -> tuple[int, DataFrame]:
+        """Add (idx, document_id, title, author, document_type, source_url, tags, chunks: array of (text, embedding)) to a corpus, or, if
+        it is None, each row to that of its column `corpus_id`. Documents are added or refused one by one: the number of chunks that
+        were added, and (idx, error) of those refused."""
+        corpora = self.corpora().select("corpus_id", "embedding_dimension")
+        if corpus_id is not None:
+            if corpora.where(F.col("corpus_id") == corpus_id).isEmpty():
+                raise ValueError(f"no corpus {corpus_id}")
+            batch = batch.withColumn("corpus_id", F.lit(corpus_id))
+        batch = batch.join(corpora, "corpus_id", "left")
+        known = F.col("embedding_dimension").isNotNull()
+        good, bad = checked_batch(batch.where(known), F.col("embedding_dimension"), embed)
+        bad = bad.unionByName(batch.where(~known).select("idx", F.lit("no such corpus").alias("error")))
+        good = written(good, "batch")
         now = F.current_timestamp()
-        docs = good.select("document_id", F.lit(corpus_id).alias("corpus_id"), F.coalesce("title", F.lit("Untitled")).alias("title"), "author", F.coalesce("document_type", F.lit("text")).alias("document_type"), "source_url", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), now.alias("created_at"))
+        docs = good.select("document_id", "corpus_id", F.coalesce("title", F.lit("Untitled")).alias("title"), "author", F.coalesce("document_type", F.lit("text")).alias("document_type"), "source_url", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), now.alias("created_at"))
         new = good.select("document_id", F.posexplode("chunks").alias("chunk_index", "c")).select(F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "document_id", "chunk_index", F.lit(None).cast("int").alias("page_number"), now.alias("created_at"), F.col("c.text").alias("text"), V.normalised("c.embedding").cast("array<float>").alias("embedding"))
-        self.chunks.write(self.chunks.read().unionByName(new))
-        self.documents.write(self.documents.read().unionByName(docs))
-        self.log("add_document", docs.select(F.col("document_id").alias("key"), F.to_json(F.struct("corpus_id", "title")).alias("data")))
+        self.commit("add_document", {"documents": docs, "chunks": new}, docs.select(F.col("document_id").alias("key"), F.to_json(F.struct("corpus_id", "title")).alias("data")))
         return good.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0], bad
 
     def delete_documents(self, ids: DataFrame) -> DataFrame:
         """Delete documents by (document_id); the ids that were not there, with an error."""
-        docs = self.documents.read()
-        missing = ids.join(docs, "document_id", "left_anti").withColumn("error", F.lit("Document not found"))
-        gone = docs.join(ids, "document_id", "left_semi").select(F.col("document_id").alias("key"), F.lit(None).cast("string").alias("data"))
-        self.log("delete_document", gone)
-        self.chunks.write(self.chunks.read().join(ids, "document_id", "left_anti"))
-        self.documents.write(docs.join(ids, "document_id", "left_anti"))
+        ids = ids.select("document_id").distinct()
+        there = written(self.documents().join(ids, "document_id", "left_semi").select("document_id"), "deleted")
+        missing = written(ids.join(there, "document_id", "left_anti").withColumn("error", F.lit("Document not found")), "missing")
+        self.commit("delete_document", {"gone": there.select(F.lit("document").alias("kind"), F.col("document_id").alias("id"))}, there.select(F.col("document_id").alias("key"), F.lit(None).cast("string").alias("data")))
         return missing
 
     def compact(self, files: int = 8) -> int:
-        """Rewrite the chunks in fewer files; the number of rows."""
-        self.chunks.write(self.chunks.read().coalesce(files))
-        return self.chunks.read().count()
+        """Write what is live again, in fewer files, as a commit that later reads start from; the number of chunks."""
+        tables = {"corpora": self.corpora(), "documents": self.documents(), "chunks": self.chunks()}
+        self.commit("compact", {k: df.coalesce(files) for k, df in tables.items()})
+        return self.chunks().count()
 
     def statistics(self) -> DataFrame:
-        """A row for each corpus: documents, chunks, distinct vectors, dimension and index type."""
-        per_doc = self.chunks.read().groupBy("document_id").agg(F.count("*").alias("n"))
-        per = self.documents.read().join(per_doc, "document_id", "left").groupBy("corpus_id").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
-        return self.corpora.read().select("corpus_id", "name", "embedding_dimension", "index_type").join(per, "corpus_id", "left").fillna(0, ["documents", "chunks"])
+        """A row for each corpus: documents, chunks, dimension and index type."""
+        per_doc = self.chunks().groupBy("document_id").agg(F.count("*").alias("n"))
+        per = self.documents().join(per_doc, "document_id", "left").groupBy("corpus_id").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+        return self.corpora().select("corpus_id", "name", "embedding_dimension", "index_type").join(per, "corpus_id", "left").fillna(0, ["documents", "chunks"])
 
     def export(self, path: str, embeddings: bool = False) -> DataFrame:
         """Write documents with their chunks as JSON lines; one row: documents, chunks, bytes of JSON."""
-        out = exported(self.documents.read(), self.chunks.read(), embeddings)
+        out = exported(self.documents(), self.chunks(), embeddings)
         out.select("json").write.mode("overwrite").text(path)
         return out.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.octet_length("json")), F.lit(0)).alias("bytes"))
 
 
-def checked_batch(batch: DataFrame, dimension: int, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def checked_batch(batch: DataFrame, dimension: int | Column, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Split a batch into documents that can be added and (idx, error) of the others."""
     if embed is not None:  # one row a chunk, for the service takes columns of texts
         rows = batch.select("idx", F.posexplode_outer("chunks").alias("pos", "c")).select("idx", "pos", F.col("c.text").alias("text"), F.col("c.embedding").cast("array<double>").alias("given"))

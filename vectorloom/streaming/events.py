@@ -6,14 +6,14 @@ what is there now.
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+
+#: Subscribers to all events that `delivered` takes.
+MOST_SUBSCRIBERS = 10_000
 
 
 def subscribed(events: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -51,26 +51,50 @@ def over_limit(events: DataFrame, limit: int, width: str = "1 minute") -> DataFr
 
 
 def delivered(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """An event for each subscriber of its type; a null type subscribes to all."""
+    """An event for each subscriber of its type; a null type subscribes to all. Subscribers to all are added to each event as an
+    array, which is as long as they are many."""
     typed = events.join(subscriptions.where("event_type is not null"), "event_type").select("event_id", "subscriber")
-    every = events.withColumn("one", F.lit(1)).join(F.broadcast(subscriptions.where("event_type is null").select("subscriber", F.lit(1).alias("one"))), "one").select("event_id", "subscriber")
-    return typed.unionByName(every)
+    every = [r[0] for r in subscriptions.where("event_type is null").select("subscriber").distinct().limit(MOST_SUBSCRIBERS + 1).collect()]
+    if len(every) > MOST_SUBSCRIBERS:
+        raise ValueError(f"more than {MOST_SUBSCRIBERS} subscribers to all events")
+    return typed.unionByName(events.select("event_id", F.explode(F.array(*map(F.lit, every)).cast("array<string>")).alias("subscriber")))
 
 
-# ---- webhooks -----------------------------------------------------------------------------------------------------
+def bus_statistics(sent: DataFrame, answers: DataFrame) -> DataFrame:
+    """(subscriber, delivered, errors, pending) from what was sent (event_id, subscriber) and answered (event_id, subscriber, ok)."""
+    met = sent.join(answers, ["event_id", "subscriber"], "left")
+    return met.groupBy("subscriber").agg(F.count("*").alias("delivered"), F.count(F.when(~F.col("ok"), 1)).alias("errors"), F.count(F.when(F.col("ok").isNull(), 1)).alias("pending"))
 
 
-def matched_webhooks(events: DataFrame, webhooks: DataFrame) -> DataFrame:
-    """(event_id, webhook_id): active hooks of the event's tenant (any, if it has none) that want its type or all."""
-    hooks = webhooks.where("status = 'active'").select("webhook_id", F.col("tenant_id").alias("hook_tenant"), F.explode("events").alias("wants"))
-    events = events.select("event_id", "tenant_id", F.explode(F.array(F.col("event_type"), F.lit("*"))).alias("wants"))
-    return events.join(hooks, "wants").where("tenant_id is null or tenant_id = hook_tenant").select("event_id", "webhook_id").distinct()
+# ---- webhooks -----------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def signature(payload: pd.Series, secret: pd.Series) -> pd.Series:
-    """sha256=hex of HMAC-SHA256."""
-    return pd.Series(["sha256=" + hmac.new(s.encode(), p.encode(), hashlib.sha256).hexdigest() for p, s in zip(payload, secret, strict=True)])
+def matched_webhooks(events: DataFrame, webhooks: DataFrame) -> DataFrame:
+    """(event_id, webhook_id): active hooks of the event's tenant (any, if it has none) that want its type or all.
+
+    Events of a tenant meet its hooks by tenant and type, so hooks for all types are no hot key; only events without a
+    tenant meet the hooks of all tenants, by type. A hook that wants a type twice over is one.
+    """
+    hooks = webhooks.where("status = 'active'").select("webhook_id", F.col("tenant_id").alias("hook_tenant"), F.explode(F.array_distinct("events")).alias("wants"))
+    wanted = events.select("event_id", "tenant_id", F.explode(F.array(F.col("event_type"), F.lit("*"))).alias("wants"))
+    own = wanted.where("tenant_id is not null").join(hooks.withColumnRenamed("hook_tenant", "tenant_id"), ["tenant_id", "wants"])
+    free = wanted.where("tenant_id is null").join(hooks, "wants")
+    return own.select("event_id", "webhook_id").unionByName(free.select("event_id", "webhook_id")).distinct()
+
+
+def _padded(key: Column, byte: int) -> Column:
+    """A key of at most 64 bytes, padded with zeros, each byte xor `byte`, as binary."""
+    code = lambda i: F.conv(F.substring(F.hex(key), i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(F.when(i < F.octet_length(key), code(i)).otherwise(0).bitwiseXOR(F.lit(byte)).cast("long")), 2, "0"))
+    return F.unhex(F.array_join(bytes_, ""))
+
+
+def signature(payload: Column | str, secret: Column | str) -> Column:
+    """sha256=hex of HMAC-SHA256, from two digests."""
+    payload, secret = (F.encode(F.col(c) if isinstance(c, str) else c, "UTF-8") for c in (payload, secret))
+    key = F.when(F.octet_length(secret) > 64, F.unhex(F.sha2(secret, 256))).otherwise(secret)
+    inner = F.unhex(F.sha2(F.concat(_padded(key, 0x36), payload), 256))
+    return F.concat(F.lit("sha256="), F.sha2(F.concat(_padded(key, 0x5C), inner), 256))
 
 
 def attempts(deliveries: DataFrame, fails: Column, max_retries: int = 3, delay: int = 60) -> DataFrame:
