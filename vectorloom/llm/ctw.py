@@ -39,7 +39,7 @@ MARK = 255
 #: The registered query learns from documents whose crc32 of the id leaves another remainder by FOLDS than HELD.
 FOLDS, HELD = 7, 2
 #: Bytes of texts that are read at once and looked up at once, and sequences that a task gathers before it passes them on.
-BLOCK, PART, GATHER = 1 << 19, 1 << 16, 1 << 23
+BLOCK, PART, GATHER = 1 << 19, 1 << 16, 1 << 22
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
 #: No sequence: contexts of at most 6 bytes leave its first byte zero.
