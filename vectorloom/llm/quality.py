@@ -5,8 +5,8 @@ whether a word repeats the one before; each kind of feature is a distribution th
 product of those with the weights, through the logistic function.
 
 Training reads a bounded sample of labelled rows (`SAMPLE`, chosen by a hash of the id) and streams it: shards start
-from the mean state of all shards after the last pass, update it document by document, and only the fixed-size states
-go to the driver. Everything else reads all rows.
+from the mean state of all shards after the last pass and update it document by document; a state has a fixed size.
+Everything else reads all rows.
 
 Defined results: a null text is empty; a text without words has the score of the bias alone; without usable labels all
 scores are 0.5; labels that disagree on a document count as the least; a null doc_id is scored but not learnt from; each
@@ -101,38 +101,57 @@ def training_sample(docs: DataFrame, labels: DataFrame, use: Column, sample: int
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("shard", "order", "text", "label")
 
 
+def _array(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_buffer())
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of the shards' states, of which there are SHARDS."""
+    rows = sorted(((b["shard"][i].as_py(), b["z"][i], b["n"][i]) for b in batches for i in range(b.num_rows)), key=lambda r: r[0])
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([np.mean([_array(r[k]) for r in rows], axis=0).tobytes()], pa.binary()) for k in (1, 2)], ["z", "n"])
+
+
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in some(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([weights(_array(b["z"][0]), _array(b["n"][0])).tobytes()], pa.binary())], ["w"])
+
+
+def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by shard, its state first if there is one: update the state document by document."""
+    words, now, state, learnt = _Words(), None, None, False
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if learnt:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in state)], ["shard", "z", "n"])
+
+    for b in some(batches):
+        texts, labels = utf8(b["text"]), b["label"].to_pylist()
+        for i, shard in enumerate(b["shard"].to_pylist()):
+            if shard != now:
+                yield from out()
+                now, learnt = shard, False
+                state = tuple(_array(b[k][i]).copy() if b[k][i].is_valid else np.zeros(DIM) for k in ("z", "n"))
+            if labels[i] is not None:
+                learn(*state, *features(texts[i], words), labels[i])
+                learnt = True
+    yield from out()
+
+
 def train(rows: DataFrame, passes: int = PASSES) -> np.ndarray:
-    """Weights from (shard, order, text, label). Each pass averages the shards' states, which have a fixed size."""
-    sc = rows.sparkSession.sparkContext
-    rows = materialize(rows, "sample")
-    dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "order", F.xxhash64("text"))
-    z, n = np.zeros(DIM), np.zeros(DIM)
+    """Weights from (shard, order, text, label). Each pass starts from the mean of the shards' states after the last, a table of one
+    row of a fixed size; only the weights come to the driver."""
+    rows = materialize(rows.select("shard", "order", "text", "label"), "sample")
+    none, state = [F.lit(None).cast("binary").alias(k) for k in ("z", "n")], None
     for _ in range(passes):
-        start = sc.broadcast((z, n))
-
-        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            words, states = _Words(), {}
-
-            def out(shard: int, state: tuple) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in state)], ["shard", "z", "n"])
-
-            for b in batches:
-                for shard, text, label in zip(b["shard"].to_pylist(), utf8(b["text"]), b["label"].to_pylist(), strict=True):
-                    if shard not in states:
-                        for done in list(states):
-                            yield out(done, states.pop(done))
-                        states[shard] = tuple(a.copy() for a in start.value)
-                    learn(*states[shard], *features(text, words), label)
-            for done, state in states.items():
-                yield out(done, state)
-
-        states = dealt.mapInArrow(run, "shard long, z binary, n binary").collect()
-        start.destroy()
-        if not states:
-            break
-        states.sort(key=lambda r: r["shard"])
-        z, n = (np.mean([np.frombuffer(r[k]) for r in states], axis=0) for k in ("z", "n"))
-    return weights(z, n)
+        every = rows.select("*", *none)
+        if state is not None:
+            every = every.unionByName(state.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARDS - 1).cast("long"))).alias("shard"), "z", "n"), allowMissingColumns=True)
+        dealt = every.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.col("label").isNotNull(), "order", F.xxhash64("text"))
+        states = dealt.mapInArrow(_pass, "shard long, z binary, n binary").repartition(1)
+        state = materialize(states.mapInArrow(_mean, "z binary, n binary"), "state")
+    found = [] if state is None else state.mapInArrow(_weights, "w binary").collect()
+    return np.frombuffer(found[0]["w"]).copy() if found else np.zeros(DIM)
 
 
 def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
