@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, keep_ids, materialize, some, table, texts, utf8
+from .common import SMALL, join_hot, keep_ids, materialize, some, table, texts, utf8
 from .components import components
 
 SHINGLE, SEED, NEAR, SEGMENT = 3, 42, 3, 32
@@ -44,7 +44,7 @@ WORDS, P, Q = 5, 4, 5
 #: Segments and their bits, of the SimHash of PAIR-word shingles that finds candidates.
 PAIR, WIDE, WIDE_BITS = 2, 12, 24
 #: Bits in which candidates may differ from a signature's least member, and from other members.
-FAR, CLOSE = 48, 28
+FAR, CLOSE = 44, 28
 #: Members of a signature that one task compares with all others.
 SHARE = 4096
 U = np.uint64
@@ -216,8 +216,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"node {docs.schema['doc_id'].dataType.simpleString()}, hashes binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (src, dst) those whose sets have a Jaccard similarity of at least P / Q."""
+def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (src, dst) those whose texts' sets have a Jaccard similarity of at least P / Q."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
@@ -228,6 +228,9 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(Q * both >= P * (len(x) + len(y) - both))
             yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
+    nodes = materialize(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct(), "nodes")
+    nodes = F.broadcast(nodes) if nodes.count() <= SMALL else nodes
+    sets = materialize(_sets(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")), "sets")
     x, y = sets.select(F.col("node").alias("src"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("dst"), F.col("hashes").alias("y"))
     kind = pairs.schema["src"].dataType.simpleString()
     return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}")
@@ -270,9 +273,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     pairs = members.where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst")).distinct()
     a, b = one.select(F.col("node").alias("src"), F.struct("size", "segments").alias("a")), one.select(F.col("node").alias("dst"), F.struct("size", "segments").alias("b"))
     first = materialize(pairs.join(a, "src").join(b, "dst").where(_alike(FAR)).select("src", "dst"), "pairs")
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(_sets(docs.join(nodes, "doc_id", "left_semi")), "sets")
-    links = materialize(_similar(first, sets), "links")
+    links = materialize(_similar(first, docs), "links")
     roots = components(links)
 
     placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -288,7 +289,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     more = left.join(right, (F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2")) & apart & _alike(CLOSE) & _first("k"))
     more = more.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).join(first, ["src", "dst"], "left_anti")
-    links = materialize(_similar(materialize(more, "pairs"), sets), "links")
+    links = materialize(_similar(materialize(more, "pairs"), docs), "links")
     # those links join components that are known: their graph is small
     of = lambda end, root: roots.select(F.col("node").alias(end), F.col("root").alias(root))
     ends = links.join(of("src", "a"), "src", "left").join(of("dst", "b"), "dst", "left")
