@@ -752,6 +752,17 @@ def test_urls_by_sql(spark):
     assert sorted(str(tuple(r)) for r in urls.op10_url_filters(spark, sf).select(*names).collect()) == want
 
 
+def test_mixing_by_sql(spark):
+    """The registered query's SQL: sources of every fill level, and each document's share."""
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    names = ["doc_id", "size", "source_size", "taken", "target"]
+    want = sorted(c.sql(f"SELECT {', '.join(names)} FROM ({mixing.OP7_SQL})").fetchall())
+    got = sorted(tuple(r) for r in mixing.op7_mixing(spark, sf).select(*names).collect())
+    assert [x[:4] for x in got] == [x[:4] for x in want] and np.allclose([x[4] for x in got], [x[4] for x in want], rtol=1e-12)
+
+
 def test_secrets_by_sql(spark, tmp_path):
     """The registered query's SQL, over the documents and over made ones with random tokens."""
     r = random.Random(4)

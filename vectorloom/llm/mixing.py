@@ -25,6 +25,8 @@ from .common import BLANK, materialize, partitions, table
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 7
 KEY = ["h", "id", "size", "t"]
+#: Hexadecimal digits of h.
+HEX = 15
 
 
 def word_count(text: Column) -> Column:
@@ -35,15 +37,16 @@ def word_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0).cast("long")).otherwise(pieces)
 
 
+def _key_columns(seed: int) -> list[Column]:
+    """A row's source, words and place in the seeded order: (h, id, size, t), which only equal rows share. Both digests are md5, which every engine has."""
+    t = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), t).cast("binary"))
+    h = F.conv(F.substring(digest, 1, HEX), 16, 10).cast("long")
+    return [F.col("source").alias("src"), F.col("doc_id").alias("id"), word_count(F.col("text")).alias("size"), h.alias("h"), t.alias("t")]
+
+
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """The row's source, words and place in the seeded order: (h, id, size, t), which only equal rows share."""
-    return docs.select(
-        F.col("source").alias("src"),
-        F.col("doc_id").alias("id"),
-        word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h"),
-        F.xxhash64("text").alias("t"),
-    )
+    return docs.select(*_key_columns(seed))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -82,15 +85,14 @@ def source_plan(keyed: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
 
     same = lambda a, b: a["src"].eqNullSafe(b["src"])
     upto = lambda *order: Window.partitionBy("src").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # buckets count in the order of h as a signed number, so that the order of buckets is that of their rows; the border's
-    # bucket is found among 256, and then among 256 of that one
+    # the order of buckets is that of their rows; the border's bucket is found among 256, and then among 256 of that one
     rows, left = keyed, src.where("need > 0").select("src", F.col("need").alias("left"))
-    for shift in (56, 48):
+    for shift in (4 * HEX - 8, 4 * HEX - 16):
         cum = rows.groupBy("src", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(upto("bucket")))
         cut = cum.join(left, same(cum, left)).where("upto - n <= left and left < upto").select(cum["src"], "bucket", (F.col("left") - F.col("upto") + F.col("n")).alias("left"))
         cut = materialize(cut, "cut")
         rows = keyed.join(cut, same(keyed, cut) & (F.shiftright(keyed["h"], shift) == cut["bucket"])).select(keyed["*"], "left")
-        left, rows = cut.select("src", "left"), rows if shift == 48 else rows.drop("left")
+        left, rows = cut.select("src", "left"), rows if shift == 4 * HEX - 16 else rows.drop("left")
     equal = rows.groupBy("src", *KEY, "left").agg(F.count("*").alias("ties")).withColumn("upto", F.sum(F.col("size") * F.col("ties")).over(upto(*KEY)))
     border = equal.where("upto - size * ties <= left and left < upto").select("src", *[F.col(k).alias(f"b_{k}") for k in KEY], F.floor((F.col("left") - F.col("upto") + F.col("size") * F.col("ties")) / F.col("ties")).alias("part"))
     return materialize(src.join(border, same(src, border), "left").select(src["src"].alias("p_src"), "source_size", "target", "whole", *[f"b_{k}" for k in KEY], "part"), "plan")
@@ -126,7 +128,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """The mix itself, with the columns of `docs`: whole rows as often as they are taken, and the first words of each source's border document."""
     plan = source_plan(materialize(_keyed(docs, seed), "sizes"), weights, share, epochs)
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[x.alias(n) for x, n in ((F.col("source"), "src"), (F.col("doc_id"), "id"), (word_count(F.col("text")), "size"), (F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), "h"), (F.xxhash64("text"), "t"))])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_key_columns(seed))
     copies, part = _copies()
     met = row.join(plan, row["src"].eqNullSafe(plan["p_src"])).select("row", copies.cast("int").alias("copies"), part.alias("taken"))
     full = met.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
@@ -136,3 +138,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+k AS (SELECT *, md5(text) AS t, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(text)), 1, {HEX}))::BIGINT AS h FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, [{', '.join(map(str, WEIGHTS))}][(rank % {len(WEIGHTS)} + 1)::INT] AS w, source_size * {EPOCHS} AS cap, {SHARE} * sum(source_size) OVER () AS words FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, rank) AS n FROM w),
+l AS (SELECT *, (words - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+f AS (SELECT min(n) AS first FROM l WHERE level * w <= cap),
+p AS (SELECT source, source_size, CASE WHEN n >= first THEN least(cap, (SELECT level FROM l WHERE n = (SELECT first FROM f)) * w) ELSE cap END AS target FROM l, f),
+q AS (SELECT *, round(target)::BIGINT AS words, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS whole FROM p),
+r AS (SELECT *, words - whole * source_size AS need FROM q),
+e AS (SELECT source, h, doc_id, size, t, count(*) AS ties FROM k GROUP BY ALL),
+c AS (SELECT *, sum(size * ties) OVER (PARTITION BY source ORDER BY h, doc_id, size, t) AS upto FROM e),
+g AS (SELECT c.*, r.source_size, r.target, r.whole, r.need, CASE WHEN need > 0 AND upto <= need THEN 1 ELSE 0 END AS more, CASE WHEN need > 0 AND upto - size * ties <= need AND need < upto THEN (need - upto + size * ties) // ties ELSE 0 END AS part FROM c JOIN r ON r.source IS NOT DISTINCT FROM c.source)
+SELECT k.doc_id, k.size::BIGINT AS size, g.source_size, g.target, ((g.whole + g.more) * k.size + g.part)::BIGINT AS taken FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source AND k.h = g.h AND k.doc_id IS NOT DISTINCT FROM g.doc_id AND k.size = g.size AND k.t = g.t
+"""

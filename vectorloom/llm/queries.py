@@ -10,7 +10,7 @@ from .bpe import op6_bpe_encode_decode
 from .ctw import op3_lm_scoring
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .media import op9_media_columns
-from .mixing import op7_mixing
+from .mixing import OP7_SQL, op7_mixing
 from .quality import op4_quality_classifier
 from .secrets import OP2_SQL, op2_secret_scans
 from .simhash import op1_simhash_near_dedup
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_url_filters": OP10_SQL}
+    return {"op2_secret_scans": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op10_url_filters": OP10_SQL}
