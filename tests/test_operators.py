@@ -113,6 +113,21 @@ def test_registered_searches_reach_their_recall(spark):
         assert search.recall(q(spark, sf), exact).first()["recall"] >= 0.9, q.__name__
 
 
+def test_product_quantization_against_brute_force(corpus):
+    """Codes are the nearest centroids, and what they stand for is near the vectors."""
+    books = search.pq_codebooks(corpus, 8, 16)
+    b = search._codebook_array(books)
+    assert b.shape[0] == 8 and b.shape[2] == 8 and b.shape[1] <= 16
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in corpus.collect()}
+    codes = {r["vec_id"]: r["codes"] for r in search.pq_encoded(corpus, books).collect()}
+    back = {r["vec_id"]: np.array(r["embedding"]) for r in search.pq_decoded(search.pq_encoded(corpus, books), books).collect()}
+    for i, v in rows.items():
+        v = v / np.linalg.norm(v)
+        d = ((b - v.reshape(8, 1, 8)) ** 2).sum(2)
+        assert np.allclose(d[np.arange(8), codes[i]], d.min(1)) and np.allclose(back[i], np.concatenate([b[s, c] for s, c in enumerate(codes[i])]))
+    assert np.mean([np.linalg.norm(back[i] - v / np.linalg.norm(v)) for i, v in rows.items()]) < 0.75
+
+
 def test_hot_lists_are_dealt_to_shards(corpus, queries, monkeypatch):
     centroids = search.ivf_centroids(corpus, 4)
     whole = search.ivf_knn(corpus, queries, centroids, 10, 2).collect()

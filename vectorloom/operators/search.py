@@ -284,10 +284,12 @@ def pq_codebooks(corpus: DataFrame, subvectors: int = 8, centroids: int = 256, s
 
 
 def _codebook_array(codebooks: DataFrame) -> np.ndarray:
-    """(subvector, code, place): a codebook has a fixed size."""
-    rows = codebooks.orderBy("subvector", "code").collect()
-    n = 1 + max(r["subvector"] for r in rows)
-    return np.array([r["centroid"] for r in rows]).reshape(n, len(rows) // n, -1)
+    """(subvector, code, place): a codebook has a fixed size; where a slice has fewer centroids than others, the last is repeated."""
+    books: dict[int, list] = {}
+    for r in codebooks.orderBy("subvector", "code").collect():
+        books.setdefault(r["subvector"], []).append(r["centroid"])
+    most = max(map(len, books.values()))
+    return np.array([b + [b[-1]] * (most - len(b)) for _, b in sorted(books.items())])
 
 
 def pq_encoded(corpus: DataFrame, codebooks: DataFrame) -> DataFrame:
