@@ -49,7 +49,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: this cuts the lineage, survives lost executors and gives Spark the true sizes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote, once nothing that is still to run reads them: what was made of them has been written
+    itself. Spark deletes shuffle files when the driver's garbage is collected, so that is asked for too."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        spark._jvm.System.gc()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

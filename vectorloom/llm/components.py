@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         s = _stars(large)
         small = s.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(s.select("a", F.col("m").alias("b"))).distinct()
         seen = Observation()  # counts the edges while they are written, without a job of its own
-        e = materialize(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("digest")), "edges")
+        old, e = e, materialize(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("digest")), "edges")
+        discard(old)
         now = seen.get
         if now == before:
             break

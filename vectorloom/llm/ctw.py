@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, partitions, some, table, texts, utf8
+from .common import discard, fold, materialize, partitions, some, table, texts, utf8
 
 #: Bytes of context; and sequences whose values tasks hold.
 DEPTH, KEPT = 5, 1 << 20
@@ -310,7 +310,9 @@ def lm_scores(docs: DataFrame, held: Column, depth: int = DEPTH, kept: int = KEP
     counts = materialize(corpus_counts(docs, ~held, depth), "counts")
     words = counts.where("word is not null").select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    of = materialize(values(mixture(tree(counts, depth))), "values")
+    levels = tree(counts, depth)
+    of = materialize(values(mixture(levels)), "values")
+    discard(*levels)
     rows = score(docs, kept_values(of, kept), known_words(words, most), depth).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "scores")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL, join_hot, keep_ids, materialize, some, table, texts, utf8
+from .common import SMALL, discard, join_hot, keep_ids, materialize, some, table, texts, utf8
 from .components import components
 
 SHINGLE, SEED, NEAR, SEGMENT = 3, 42, 3, 32
@@ -217,7 +217,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (src, dst) those whose texts' sets have a Jaccard similarity of at least P / Q."""
+    """Of pairs (src, dst) those whose texts' sets have a Jaccard similarity of at least P / Q, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
@@ -229,11 +229,13 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
     nodes = materialize(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct(), "nodes")
-    nodes = F.broadcast(nodes) if nodes.count() <= SMALL else nodes
-    sets = materialize(_sets(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")), "sets")
+    few = F.broadcast(nodes) if nodes.count() <= SMALL else nodes
+    sets = materialize(_sets(docs.join(few, docs["doc_id"] == few["node"], "left_semi")), "sets")
     x, y = sets.select(F.col("node").alias("src"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("dst"), F.col("hashes").alias("y"))
     kind = pairs.schema["src"].dataType.simpleString()
-    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}")
+    links = materialize(pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}"), "links")
+    discard(nodes, sets)
+    return links
 
 
 def _differ(i: int) -> Column:
@@ -273,14 +275,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     pairs = members.where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst")).distinct()
     a, b = one.select(F.col("node").alias("src"), F.struct("size", "segments").alias("a")), one.select(F.col("node").alias("dst"), F.struct("size", "segments").alias("b"))
     first = materialize(pairs.join(a, "src").join(b, "dst").where(_alike(FAR)).select("src", "dst"), "pairs")
-    links = materialize(_similar(first, docs), "links")
+    links = _similar(first, docs)
     roots = components(links)
 
     placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "placed")
+    discard(members, links)
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rest = placed.join(open_keys, "key", "left_semi").join(one.select("node", "size", "segments"), "node")
     rest = materialize(rest, "open")
+    discard(placed)
     # a signature with many members is shared out: each task has some of them against all
     share = F.ceil(F.col("n") / SHARE).cast("int")
     side = lambda name: F.struct("node", "root", "size", "segments").alias(name)
@@ -289,7 +293,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     more = left.join(right, (F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2")) & apart & _alike(CLOSE) & _first("k"))
     more = more.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).join(first, ["src", "dst"], "left_anti")
-    links = materialize(_similar(materialize(more, "pairs"), docs), "links")
+    more = materialize(more, "pairs")
+    discard(rest, first)
+    links = _similar(more, docs)
     # those links join components that are known: their graph is small
     of = lambda end, root: roots.select(F.col("node").alias(end), F.col("root").alias(root))
     ends = links.join(of("src", "a"), "src", "left").join(of("dst", "b"), "dst", "left")
