@@ -10,6 +10,7 @@ from vectorloom.sources.shared import fresh_path
 from vectorloom.streaming import events as E
 
 from .registry import query, table
+from .retrieval_queries import WORDS, hashed_sql
 from .sql import results, results_sql
 
 HOOKS = """hooks(webhook_id, tenant_id, status, events) AS (VALUES (1, 0, 'active', ['*']), (2, 1, 'active', ['click', 'view']), (3, 2, 'paused', ['*']), (4, 3, 'active', ['purchase']), (5, 1, 'active', ['error', '*']))"""
@@ -130,10 +131,23 @@ def t11_webhook_signature(spark, sf_dir):
     return e.select("event_id", E.signature(F.to_json(F.struct("event_id", "event_type", "user_id")), F.concat(F.lit("secret-"), F.col("user_id") % 4)).alias("signature"))
 
 
-@query()
+ASKED = r"""c AS (SELECT conv_id AS query_id, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS s FROM conversations WHERE turn = 0 AND conv_id % 100 = 0),
+asked AS (SELECT query_id, replace(replace(replace(replace(replace(replace(regexp_replace(s, '[^\p{L}\p{M}\p{Nd}\p{Pc}\s?.!]', '', 'g'), ' ML ', ' machine learning '), ' AI ', ' artificial intelligence '), ' NLP ', ' natural language processing '), ' DL ', ' deep learning '), ' CNN ', ' convolutional neural network '), ' RNN ', ' recurrent neural network ') AS query FROM c)"""
+
+
+@query(f"""WITH {ASKED}, src AS (SELECT doc_id AS sid, text FROM documents UNION ALL SELECT -1 - query_id, query FROM asked), {hashed_sql('src', 'sid')},
+e AS (SELECT id, pos, v / norm AS v FROM p JOIN n USING (id) WHERE norm > 0),
+dots AS (SELECT -1 - q.id AS query_id, c.id AS vec_id, sum(q.v * c.v) AS s FROM e q JOIN e c USING (pos) WHERE q.id < 0 AND c.id >= 0 GROUP BY ALL),
+pairs AS (SELECT a.query_id, a.query, d.doc_id AS vec_id, d.text, d.doc_id % 10 AS chunk_index, round(1 - coalesce(s, 0), 6) + 0.0 AS distance FROM asked a CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = a.query_id AND dots.vec_id = d.doc_id),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS old_rank FROM pairs QUALIFY old_rank <= 10),
+m AS (SELECT *, {WORDS.format('query')} AS qw, {WORDS.format('text')} AS tw FROM found),
+scored AS (SELECT *, round(0.4 * (1 - distance / 2) + 0.4 * (len(list_intersect(qw, tw)) / greatest(len(qw), 1)) + 0.2 / (chunk_index + 1), 6) AS score FROM m),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank FROM scored QUALIFY rank <= 5),
+g AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS a, count(*) AS n_sources, round(max(1 - distance), 6) AS top_relevance FROM best GROUP BY query_id)
+SELECT query_id, CASE WHEN length(a) > 500 THEN substr(a, 1, 500) || '...' ELSE a END AS context, n_sources, top_relevance FROM g""")
 def t12_rag_workflow(spark, sf_dir):
     """Questions, from the first turns of conversations, preprocessed and embedded; the nearest documents reranked by words and
-    put together. Each step has its own query with SQL."""
+    put together."""
     c = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 100 = 0")
     asked = c.select(F.col("conv_id").alias("query_id"), retrieval.preprocessed(F.col("text")).alias("query"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", hash_embedding(F.col("text")).alias("embedding"), (F.col("doc_id") % 10).alias("chunk_index"))
