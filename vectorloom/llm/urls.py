@@ -130,7 +130,7 @@ def pattern_hits(urls: DataFrame, rules: Sequence[PatternRule] = PATTERN_RULES)
         return urls.select("key").limit(0)
     lower = urls.select("key", ascii_lower(F.col("url")).alias("url"))
     named = F.array(*map(F.lit, sorted(set().union(*(r.keys for r in rules)))))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("url") - GRAM + 1, F.lit(1))), lambda i: F.concat(F.lit("~"), F.substring(F.col("url"), i, F.lit(GRAM))))
+    pieces = F.transform(F.regexp_extract_all("url", F.lit(f"(?=([a-z0-9]{{{GRAM}}}))"), F.lit(1)), lambda p: F.concat(F.lit("~"), p))
     held = F.array_intersect(F.concat(F.regexp_extract_all("url", F.lit(TOKEN), F.lit(0)), pieces), named)
     tokens = materialize(lower.select("key", "url", F.explode(held).alias("token")), "tokens")
     seen = dict(tokens.groupBy("token").count().collect())
