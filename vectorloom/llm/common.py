@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: The blanks that separate words: space and the control characters 9 to 13, as in `bytes.split()`.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch that a task hands to Python.
+BATCH = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,12 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: this cuts the lineage, survives lost executors and gives Spark the true sizes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Arrow batches have at most BATCH rows, for long texts make those of the default length large; then the session's setting is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH:
+        yield
+        return
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialize` wrote, once nothing that is still to run reads them: what was made of them has been written
     itself. Spark deletes shuffle files when the driver's garbage is collected, so that is asked for too."""
@@ -70,7 +89,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def some(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def some(batches: Iterable[pa.RecordBatch], rows: int = BATCH) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows. Spark bounds a batch by its bytes; this bounds what a task makes of one in Python."""
     for b in batches:
         for at in range(0, b.num_rows, rows):

@@ -177,11 +177,11 @@ def _model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier takes for good, with all columns."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return score(rows, _model(docs, labels)).where("__score >= 0.5").select("row.*")
+    return materialize(score(rows, _model(docs, labels)).where("__score >= 0.5").select("row.*"), "good")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, _model(docs, table(spark, sf_dir, "labels")))
+    scored = materialize(score(docs, _model(docs, table(spark, sf_dir, "labels"))).select("doc_id", "__score"), "scores")
     held = F.coalesce(fold("doc_id", FOLDS) == HELD, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
