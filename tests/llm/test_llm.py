@@ -719,6 +719,29 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_on_odd_rows(spark):
+    """Clashing columns, rules of one length, a very long URL, and patterns that can't be indexed."""
+    rules = [urls.HostRule("allow", "a.com", "/x/y"), urls.HostRule("block", "b.a.com", "/x")]
+    rows = [(1, "http://b.a.com/x/y"), (2, "http://a.com/x/yz"), (3, "http://casino-" + "q" * 500_000 + ".org/"), (4, "http://q.org/" + "q" * 500_000), (5, None), (5, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    df = reduce(lambda d, c: d.withColumn(c, F.lit("x")), ("host", "path", "rule", "verdict", "id", "n", "key", "token", "bad"), df)
+    got = sorted((x["page_id"], x["rule"], x["verdict"]) for x in urls.filter_urls(df, host_rules=rules).collect())
+    assert got == [(1, "b.a.com/x", "block"), (2, "a.com/x/y", "allow"), (3, None, "block"), (4, None, "allow"), (5, None, "allow"), (5, None, "allow")]
+    assert sorted(x["verdict"] for x in urls.filter_urls(df, host_rules=[], pattern_rules=[]).collect()) == ["allow"] * 6
+    for pattern in (r"^https?$|x", r"[a-z]+", r"(abc)?", r"ab?c", r"a\.b"):
+        assert not {"abc", "~abc"} & set(urls._literals(pattern))
+    with pytest.raises(ValueError):
+        urls.PatternRule(r"[a-z]+").keys  # noqa: B018
+
+
+def test_what_patterns_hold_is_in_their_matches():
+    """Each key of each registered rule is in URLs that the rule matches."""
+    for r in urls.PATTERN_RULES:
+        made = [u for w in (*urls.SPAM_WORDS, *urls.SPAM_PAIRS, *urls.FEEDS, *urls.NO_TEXT, *urls.FILES) for u in (f"https://a.{w}.com/", f"http://{w}-x.net/", f"http://x.org/?{w}=1", f"http://x.org/a/{w}.php?z", f"http://x.org/f.{w}") ] + ["http://m.x.org/en/12.html"]
+        hit = [u for u in made if re.search(r.pattern, u)]
+        assert hit and all(k[1:] in u if k[0] == "~" else k in re.findall(urls.TOKEN, u) for u in hit for k in r.keys), r.pattern
+
+
 # ---- pipeline -----------------------------------------------------------------------------------------------------
 
 
@@ -752,6 +775,20 @@ def test_urls_by_sql(spark):
     assert sorted(str(tuple(r)) for r in urls.op10_url_filters(spark, sf).select(*names).collect()) == want
 
 
+def test_pipeline_on_odd_rows(spark, odd):
+    """Nulls, ties, repeats and clashing names go through every stage; an empty table gives an empty result."""
+    import corpus_pipeline as P
+
+    for docs in (odd, odd.where("false")):
+        n = docs.count()
+        for name, stage in P.STAGES[:-1]:
+            docs = common.materialize(stage(spark, docs, SF), name)
+            assert docs.columns == odd.columns
+        last = P.STAGES[-1][1](spark, docs, SF)
+        assert last.columns == [c for c in odd.columns if c not in ("text", "n_tokens")] + ["n_tokens", "ids_sha256", "decoded_sha256"]
+        assert last.count() == docs.count() and (last.count() > 0) == (n > 0)
+
+
 def test_mixing_by_sql(spark):
     """The registered query's SQL: sources of every fill level, and each document's share."""
     sf = "/root/testdata/sf0.01"
