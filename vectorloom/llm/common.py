@@ -84,6 +84,7 @@ def some(batches: Iterable[pa.RecordBatch], rows: int = BATCH) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker goes on with other tasks
 
 
 def partitions(spark: SparkSession) -> int:

@@ -48,7 +48,7 @@ class _Words(dict):
         letters = "A" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "a" if core.isalpha() else "0" if core else "-"
         at = text.find(core) if core else 0
         shape = f"{text[:at][:8]}{letters}{text[at + len(core) :][:8]}" if core else text[:8]
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = out = (_hash(core.lower().encode()), _hash(b"shape:" + shape.encode()))
         return out

@@ -150,7 +150,7 @@ class Words(dict):
     """word -> 64-bit hash; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, SEED)
         return out
